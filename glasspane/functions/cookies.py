@@ -1,78 +1,63 @@
-"""Column functions over Set-Cookie headers."""
+"""SQL expressions over Set-Cookie headers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..rules import pages as R
+from .text import each, let, quote, struct
 
 
-def _attribute(parts: Column, name: str) -> Column:
+def _attribute(parts: str, name: str) -> str:
     """Last value of an attribute; "" when it stands without a value, null when it is absent."""
-    named = F.filter(parts, lambda p: F.lower(F.trim(F.substring_index(p, "=", 1))) == name)
-    last = F.try_element_at(named, F.lit(-1))
-    return F.when(F.contains(last, F.lit("=")), F.trim(F.regexp_extract(last, r"^[^=]*=([\s\S]*)$", 1))).when(
-        last.isNotNull(), F.lit(""))
+    last = f"try_element_at(filter({parts}, p -> lower(trim(substring_index(p, '=', 1))) = '{name}'), -1)"
+    return let(last, lambda a: f"CASE WHEN contains({a}, '=') THEN trim(regexp_extract({a}, '(?s)^[^=]*=(.*)$', 1)) "
+                               f"WHEN {a} IS NOT NULL THEN '' END")
 
 
-def category(name: Column, domain: Column) -> Column:
+def category(name: str, domain: str) -> str:
     """Category by name prefix, then by cookie domain."""
-    low, at = F.lower(name), F.lower(F.coalesce(domain, F.lit("")))
-    domains = dict(R.COOKIE_DOMAINS)
-    out = F
+    domains, cases = dict(R.COOKIE_DOMAINS), []
     for label, prefixes in R.COOKIE_PREFIXES:
-        out = out.when(_any(F.startswith(low, F.lit(p)) for p in prefixes), F.lit(label))
+        cases.append((" OR ".join(f"startswith(lower({name}), {quote(p)})" for p in prefixes), label))
         if label in domains:
-            out = out.when(_any(F.contains(at, F.lit(d)) for d in domains[label]), F.lit(label))
-    return out.otherwise(F.lit("unknown"))
+            cases.append((" OR ".join(f"contains(lower(coalesce({domain}, '')), {quote(d)})" for d in domains[label]),
+                          label))
+    return "CASE " + " ".join(f"WHEN {c} THEN '{label}'" for c, label in cases) + " ELSE 'unknown' END"
 
 
-def duration(max_age: Column) -> Column:
-    out = F.when(max_age.isNull(), F.lit("session"))
-    for upto, label in R.DURATIONS:
-        out = out.when(max_age <= upto, F.lit(label))
-    return out.otherwise(F.concat(F.floor(max_age / R.YEAR_SECONDS).cast("string"), F.lit("+ years")))
+def duration(max_age: str) -> str:
+    cases = " ".join(f"WHEN {max_age} <= {upto} THEN {quote(label)}" for upto, label in R.DURATIONS)
+    return (f"CASE WHEN {max_age} IS NULL THEN 'session' {cases} "
+            f"ELSE concat({max_age} div {R.YEAR_SECONDS}, '+ years') END")
 
 
-def parse(header: Column) -> Column:
+def parse(header: str) -> str:
     """One header as a struct."""
-    parts = F.transform(F.split(header, ";"), F.trim)
-    first, rest = F.element_at(parts, 1), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-    value = F.regexp_extract(first, r"^[^=]*=([\s\S]*)$", 1)
-    same = _attribute(rest, "samesite")
-    age = F.when(F.rlike(_attribute(rest, "max-age"), F.lit(r"^-*\d+$")), _attribute(rest, "max-age").try_cast("bigint"))
-    where = _attribute(rest, "domain")
-    name = F.trim(F.substring_index(first, "=", 1))
-    domain = F.when(where != "", where)
-    path = _attribute(rest, "path")
-    return F.struct(
-        name.alias("name"),
-        F.when(value != "", F.concat(F.substring(value, 1, R.VALUE_PREVIEW), F.lit("…"))).otherwise("")
-        .alias("value_preview"),
-        _attribute(rest, "httponly").isNotNull().alias("httponly"),
-        _attribute(rest, "secure").isNotNull().alias("secure"),
-        F.when(same == "", F.lit("Lax")).otherwise(same).alias("samesite"),
-        F.when(path.isNull(), F.lit("/")).otherwise(path).alias("path"),
-        domain.alias("domain"),
-        age.alias("max_age"),
-        category(name, domain).alias("category"),
-        duration(age).alias("duration_label"))
-
-
-def parse_all(headers: Column) -> Column:
-    return F.transform(headers, parse)
-
-
-def flag_share(cookies: Column, flag) -> Column:
-    """Share of cookies with a flag, in percent with one decimal; 0 without cookies."""
-    n = F.size(cookies)
-    hits = F.size(F.filter(cookies, flag))
-    return F.coalesce(F.round(F.try_divide(hits * F.lit(100.0), n), 1), F.lit(0.0))
-
-
-def _any(conditions) -> Column:
-    out = None
-    for c in conditions:
-        out = c if out is None else out | c
-    return out
+    def fields(p: str) -> str:
+        first, rest = f"element_at({p}, 1)", f"slice({p}, 2, size({p}))"
+        return struct(name=f"trim(substring_index({first}, '=', 1))",
+                      value=f"regexp_extract({first}, '(?s)^[^=]*=(.*)$', 1)",
+                      httponly=f"{_attribute(rest, 'httponly')} IS NOT NULL",
+                      secure=f"{_attribute(rest, 'secure')} IS NOT NULL", same=_attribute(rest, "samesite"),
+                      path=_attribute(rest, "path"), domain=_attribute(rest, "domain"),
+                      age=_attribute(rest, "max-age"))
+
+    def finish(f: str) -> str:
+        age = f"if({f}.age rlike '^-*[0-9]+$', try_cast({f}.age as bigint), NULL)"
+        return struct(
+            name=f"{f}.name", value_preview=f"if({f}.value <> '', concat(substring({f}.value, 1, {R.VALUE_PREVIEW}), "
+                                            f"'…'), '')",
+            httponly=f"{f}.httponly", secure=f"{f}.secure", samesite=f"if({f}.same = '', 'Lax', {f}.same)",
+            path=f"coalesce({f}.path, '/')", domain=f"nullif({f}.domain, '')", max_age=age,
+            category=category(f"{f}.name", f"nullif({f}.domain, '')"), duration_label=duration(age))
+
+    return let(f"transform(split({header}, ';'), p -> trim(p))", lambda p: let(fields(p), finish))
+
+
+def parse_all(headers: str) -> str:
+    return each(headers, parse)
+
+
+def flag_share(cookies: str, test: str) -> str:
+    """Share of cookies c with a flag, in percent with one decimal; 0 without cookies."""
+    return (f"coalesce(round(try_divide(size(filter({cookies}, c -> {test})) * 100D, "
+            f"cast(size({cookies}) as double)), 1), 0D)")

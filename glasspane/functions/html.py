@@ -1,56 +1,69 @@
-"""Column functions over page markup. Tags are found left to right, so a comment hides the tags inside it."""
+"""SQL expressions over page markup. Tags are found left to right, so a comment hides the tags inside it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import quote
 
 COMMENT = r"<!--[\s\S]*?-->"
 SCRIPT = r"<script\b[^>]*>[\s\S]*?</script\s*>"
+
+# Character references that are decoded.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
             ("&middot;", "·"), ("&amp;", "&"))
 
 
-def elements(html: Column, *tags: str) -> Column:
+def elements(html: str, *tags: str) -> str:
     """Scripts as a whole plus the opening tags named, in page order."""
-    opening = "|".join(tags)
-    rule = rf"(?i){COMMENT}|{SCRIPT}" + (rf"|<(?:{opening})\b[^>]*>" if tags else "")
-    found = F.regexp_extract_all(html, F.lit(rule), F.lit(0))
-    return F.filter(found, lambda x: ~F.startswith(x, F.lit("<!--")))
+    rule = rf"(?i){COMMENT}|{SCRIPT}" + (rf"|<(?:{'|'.join(tags)})\b[^>]*>" if tags else "")
+    return f"filter(regexp_extract_all({html}, {quote(rule)}, 0), e -> NOT startswith(e, '<!--'))"
+
 
+def tag_name(element: str) -> str:
+    return f"lower(regexp_extract({element}, '^<([a-zA-Z][a-zA-Z0-9]*)', 1))"
 
-def tag_name(element: Column) -> Column:
-    return F.lower(F.regexp_extract(element, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
 
+def opening(element: str) -> str:
+    return f"regexp_extract({element}, '^<[^>]*>', 0)"
 
-def attribute(element: Column, name: str) -> Column:
+
+def attribute(element: str, name: str) -> str:
     """Value of an attribute of the opening tag, null when it is absent."""
-    tag = F.regexp_extract(element, r"^<[^>]*>", 0)
-    rule = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    value = F.concat(*[F.regexp_extract(tag, rule, i) for i in (1, 2, 3)])
-    return F.when(F.rlike(tag, F.lit(rule)), F.replace(F.trim(value), F.lit("&amp;"), F.lit("&")))
+    rule = quote(rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+    tag = opening(element)
+    value = ", ".join(f"regexp_extract({tag}, {rule}, {i})" for i in (1, 2, 3))
+    return f"if({tag} rlike {rule}, replace(trim(concat({value})), '&amp;', '&'), NULL)"
 
 
-def has_attribute(element: Column, name: str) -> Column:
-    return F.rlike(F.regexp_extract(element, r"^<[^>]*>", 0), F.lit(rf"(?i)[\s\"'/]{name}(?:[\s=/>]|$)"))
+def has_attribute(element: str, name: str) -> str:
+    rule = quote(rf"(?i)[\s\"'/]{name}(?:[\s=/>]|$)")
+    return f"({opening(element)} rlike {rule})"
 
 
-def script_body(element: Column) -> Column:
-    return F.regexp_extract(element, r"(?i)^<script\b[^>]*>([\s\S]*?)</script\s*>$", 1)
+def script_body(element: str) -> str:
+    return f"regexp_extract({element}, {quote(r'(?i)^<script\b[^>]*>([\s\S]*?)</script\s*>$')}, 1)"
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: str) -> str:
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+        text = f"replace({text}, {quote(name)}, {quote(char)})"
     return text
 
 
-def visible_lines(html: Column, dropped, least: int) -> Column:
-    """Text lines of a page, one per text node, after dropping whole elements; short lines are left out."""
-    body = F.regexp_replace(html, rf"(?i){COMMENT}|{SCRIPT}", "")
-    for tag in dropped:
+def without(html: str, tags) -> str:
+    """Markup without comments, scripts and other whole elements."""
+    out = f"regexp_replace({html}, {quote(rf'(?i){COMMENT}|{SCRIPT}')}, '')"
+    for tag in tags:
         if tag != "script":
-            body = F.regexp_replace(body, rf"(?i)<{tag}\b[^>]*>[\s\S]*?</{tag}\s*>", "")
-    lines = F.split(unescape(F.regexp_replace(body, r"<[^>]*>", "\n")), "\n")
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.array_join(F.filter(trimmed, lambda x: F.length(x) > least), "\n")
+            out = f"regexp_replace({out}, {quote(rf'(?i)<{tag}\b[^>]*>[\s\S]*?</{tag}\s*>')}, '')"
+    return out
+
+
+def lines(html: str, least: int) -> str:
+    """Text lines of markup, one per text node; lines of up to `least` characters are left out."""
+    nodes = f"split({unescape(f'regexp_replace({html}, {quote('<[^>]*>')}, {quote(chr(10))})')}, {quote(chr(10))})"
+    trimmed = f"transform({nodes}, n -> regexp_replace(n, {quote(r'^\s+|\s+$')}, ''))"
+    return f"array_join(filter({trimmed}, n -> length(n) > {least}), {quote(chr(10))})"
+
+
+def visible_text(html: str, dropped, least: int) -> str:
+    return lines(without(html, dropped), least)

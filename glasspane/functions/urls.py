@@ -1,56 +1,54 @@
-"""Column functions for addresses and hosts."""
+"""SQL expressions for addresses and hosts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import let, quote
 
-_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = quote(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
-def normalise_url(url: Column) -> Column:
+def normalise_url(url: str) -> str:
     """With a scheme, without slashes at the end."""
-    plain = F.when(F.rlike(url, F.lit("^https?://")), url).otherwise(
-        F.concat(F.lit("https://"), F.regexp_replace(url, "^/+", "")))
-    return F.regexp_replace(plain, "/+$", "")
+    return (f"regexp_replace(if({url} rlike '^https?://', {url}, concat('https://', regexp_replace({url}, '^/+', ''))), "
+            f"'/+$', '')")
 
 
-def host(url: Column) -> Column:
+def host(url: str) -> str:
     """Lower-cased host without "www.", null for a relative address."""
-    found = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"^www\.", "")
-    return F.when(found != "", found)
+    return f"nullif(regexp_replace(lower(regexp_extract({url}, {_HOST}, 1)), '^www[.]', ''), '')"
 
 
-def is_valid(url: Column) -> Column:
-    return F.regexp_extract(normalise_url(url), _HOST, 1) != ""
+def is_valid(url: str) -> str:
+    return f"(regexp_extract({normalise_url(url)}, {_HOST}, 1) <> '')"
 
 
-def site(url: Column) -> Column:
+def site(url: str) -> str:
     """Domain that identifies a site."""
     return host(normalise_url(url))
 
 
-def base(url: Column) -> Column:
+def base(url: str) -> str:
     """Scheme and authority."""
-    return F.regexp_extract(normalise_url(url), r"^(https?://[^/?#]*)", 1)
+    return f"regexp_extract({normalise_url(url)}, '^(https?://[^/?#]*)', 1)"
 
 
-def third_party(resource_host: Column, page_domain: Column) -> Column:
+def third_party(resource_host: str, domain: str) -> str:
     """A known host that is neither the page's own nor one below it."""
-    return F.coalesce(resource_host.isNotNull() & (resource_host != page_domain)
-                      & ~F.endswith(resource_host, F.concat(F.lit("."), page_domain)), F.lit(False))
+    return (f"coalesce({resource_host} <> {domain} AND NOT endswith({resource_host}, concat('.', {domain})), false)")
 
 
-def suffix(host_col: Column, labels: int) -> Column:
-    """Last labels of a host, null when it has fewer."""
-    return F.when(F.size(F.split(host_col, r"\.")) >= labels, F.substring_index(host_col, ".", -labels))
+def suffixes(host_name: str) -> str:
+    """A host and its parents, longest first."""
+    return let(f"split({host_name}, '[.]')", lambda p: f"transform(sequence(size({p}), 1, -1), "
+               f"k -> array_join(slice({p}, size({p}) - k + 1, k), '.'))")
 
 
-def absolute(href: Column, base_url: Column, page_url: Column) -> Column:
+def absolute(href: str, base_url: str, page_url: str) -> str:
     """A link resolved against its page (dot segments are kept)."""
-    folder = F.regexp_extract(F.regexp_replace(page_url, r"[?#].*$", ""), r"^(https?://[^/]+(?:/.*)?/)[^/]*$", 1)
-    return (F.when(F.rlike(href, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
-            .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(page_url, "^([a-z]+:)", 1), href))
-            .when(F.startswith(href, F.lit("/")), F.concat(base_url, href))
-            .when(F.startswith(href, F.lit("?")), F.concat(F.regexp_replace(page_url, r"[?#].*$", ""), href))
-            .otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(base_url, F.lit("/"))), href)))
+    plain = f"regexp_replace({page_url}, '[?#].*$', '')"
+    folder = f"nullif(regexp_extract({plain}, '^(https?://[^/]+(?:/.*)?/)[^/]*$', 1), '')"
+    return (f"CASE WHEN {href} rlike '^[a-zA-Z][a-zA-Z0-9+.-]*:' THEN {href} "
+            f"WHEN startswith({href}, '//') THEN concat(regexp_extract({page_url}, '^([a-z]+:)', 1), {href}) "
+            f"WHEN startswith({href}, '/') THEN concat({base_url}, {href}) "
+            f"WHEN startswith({href}, '?') THEN concat({plain}, {href}) "
+            f"ELSE concat(coalesce({folder}, concat({base_url}, '/')), {href}) END")

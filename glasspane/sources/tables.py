@@ -43,7 +43,7 @@ def homepages(spark: SparkSession, path: str) -> DataFrame:
     pages = spread(read(spark, path, "pages").select("page_id", "url", "html"), "page_id")
     raw = F.split(pick(S.COOKIES, F.col("page_id")), "\n")
     return pages.select(
-        "page_id", "url", U.site(F.col("url")).alias("domain"), U.base(F.col("url")).alias("base"),
+        "page_id", "url", F.expr(U.site("url")).alias("domain"), F.expr(U.base("url")).alias("base"),
         F.concat("html", pick(S.FRAGMENTS, F.col("page_id"))).alias("html"),
         F.filter(raw, lambda x: x != "").alias("cookies"))
 
