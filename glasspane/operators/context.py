@@ -78,7 +78,8 @@ def chat(scored: DataFrame) -> DataFrame:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Adds `answer` and `ai_available`: stored model answers read as JSON, code fences dropped."""
-    clean = r"trim(regexp_replace(trim(response), '```(?:json)?', ''))"
+    fences, ends = T.quote("```(?:json)?"), T.quote(r"^\s+|\s+$")
+    clean = f"regexp_replace(regexp_replace(response, {fences}, ''), {ends}, '')"
     # A permissive reader fills a cut-off document with what it found, so only a whole one counts.
     whole = f"(startswith({clean}, '{{') AND endswith({clean}, '}}'))"
     read = F.expr(f"if({whole}, from_json({clean}, '{ANSWER}', map('mode', 'PERMISSIVE')), NULL)")

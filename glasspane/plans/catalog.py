@@ -856,10 +856,10 @@ def _(spark, path):
 
 
 @query("h2_incremental_upsert", """SELECT version_id, domain, content_hash FROM §ver WHERE lower(content_hash) NOT IN (SELECT sha256(text) FROM §fetch WHERE
-    fetched_at < TIMESTAMP '2024-01-15' AND domain = §ver.domain)""".replace("§ver.domain", "b_ver.domain"))
+    fetched_at < TIMESTAMP '2024-01-05' AND domain = §ver.domain)""".replace("§ver.domain", "b_ver.domain"))
 def _(spark, path):
     fetched = tables.fetches(spark, path)
-    early, late = fetched.where("fetched_at < '2024-01-15'"), fetched.where("fetched_at >= '2024-01-15'")
+    early, late = fetched.where("fetched_at < '2024-01-05'"), fetched.where("fetched_at >= '2024-01-05'")
     known = history.versions(early).select("domain", "content_hash")
     return history.new_versions(late, known).select(F.col("fetch_id").alias("version_id"), "domain", "content_hash")
 
