@@ -27,7 +27,9 @@ _names = itertools.count()
 
 def searchable(text: Column) -> Column:
     """Lower-cased copy of a text with the same character positions."""
-    return F.lower(F.translate(text, WIDE_SPACES, "\t" * len(WIDE_SPACES)))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(
+        F.lower(F.translate(text, WIDE_SPACES, "\t" * len(WIDE_SPACES))))
 
 
 def quote(value) -> str:
@@ -80,9 +82,24 @@ def some(items: str, test) -> str:
     return f"exists({items}, {x} -> {test(x)})"
 
 
+def _share_guards(expression: str, low: str) -> str:
+    """Tests every literal of an expression once per text, however many rules it guards.
+
+    The literals that occur form a short array; the rules then look their guards up in it.
+    """
+    guard_test = re.compile(r"contains\(" + re.escape(low) + r", ('(?:[^'\\]|\\.)*')\)")
+    found = list(dict.fromkeys(guard_test.findall(expression)))
+    if len(found) < 4:
+        return expression
+    here = keep(array(found), lambda t: f"contains({low}, {t})")
+    return let(here, lambda g: guard_test.sub(lambda m: f"array_contains({g}, {m[1]})", expression))
+
+
 def over_text(body, text: str = "text", low: str = "low") -> Column:
     """Column with the value of body(text, low), both bound once per row."""
-    return F.expr(let(struct(text=text, low=low), lambda r: body(f"{r}.text", f"{r}.low")))
+    def bound(r: str) -> str:
+        return _share_guards(body(f"{r}.text", f"{r}.low"), f"{r}.low")
+    return F.expr(let(struct(text=text, low=low), bound))
 
 
 def explode_rows(df: DataFrame, items: str, name: str) -> DataFrame:
@@ -125,9 +142,49 @@ def is_literal(pattern: str) -> bool:
     return not _META.search(pattern)
 
 
+def _starts(tree) -> tuple[set[str], bool] | None:
+    """Characters with which a match can begin, and whether it can be empty; None when they are not few and plain."""
+    out: set[str] = set()
+    for op, arg in tree:
+        if op is rc.AT:
+            continue
+        if op is rc.LITERAL:
+            return out | {chr(arg)}, False
+        if op is rc.SUBPATTERN:
+            part = _starts(arg[3])
+        elif op is rc.BRANCH:
+            parts = [_starts(p) for p in arg[1]]
+            part = None if None in parts else (set().union(*(p[0] for p in parts)), any(p[1] for p in parts))
+        elif op is rc.MAX_REPEAT:
+            part = _starts(arg[2])
+            part = part and (part[0], part[1] or arg[0] == 0)
+        elif op is rc.IN and all(k is rc.LITERAL for k, _ in arg):
+            part = {chr(v) for _, v in arg}, False
+        else:
+            return None
+        if part is None:
+            return None
+        out |= part[0]
+        if not part[1]:
+            return out, False
+    return out, True
+
+
+@lru_cache(maxsize=None)
+def _ahead(pattern: str) -> str:
+    """One test of the first character in front of a pattern that begins with alternatives."""
+    tree = rp.parse(pattern)
+    if not tree or tree[0][0] is rc.LITERAL:
+        return pattern
+    found = _starts(tree)
+    if not found or found[1] or not all(c.isalnum() for c in found[0]):
+        return pattern
+    return f"(?=[{''.join(sorted(found[0]))}])(?:{pattern})"
+
+
 def rule(pattern: str) -> str:
     """A pattern as an SQL literal."""
-    return quote(_UNIX + pattern)
+    return quote(_UNIX + _ahead(pattern))
 
 
 def either(conditions) -> str:

@@ -15,7 +15,8 @@ NAMED = rf"(?:{LEGAL_ENTITY}|\b(?:{'|'.join(R.BRANDS)})\b)"
 
 def names(text: str) -> str:
     """Distinct names in alphabetical order."""
-    found = f"regexp_extract_all({text}, {T.rule(NAMED)}, 0)"
+    # Every name begins with a capital letter or the "c" of one brand, so most positions fail on their first character.
+    found = f"regexp_extract_all({text}, {T.rule('(?=[A-Zc])' + NAMED)}, 0)"
     return f"array_sort(array_distinct({found}))"
 
 

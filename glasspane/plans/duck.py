@@ -364,8 +364,8 @@ CTES = {
         LEFT JOIN (SELECT page_id, array_to_string(list_sort(list(DISTINCT e))[1:5], '|') AS e FROM §fp GROUP BY page_id) x USING (page_id)
         LEFT JOIN (SELECT page_id, array_to_string(list_sort(list(DISTINCT e))[1:5], '|') AS e FROM §sr GROUP BY page_id) y USING (page_id)
         LEFT JOIN §cksec k USING (page_id)""",
-    "dt_doc": """SELECT d.doc_id, count(t.ord) AS types, coalesce(sum(CASE WHEN sensitivity = 'critical' THEN CASE WHEN gdpr_special_category
-            THEN 10 ELSE 8 END WHEN sensitivity = 'high' THEN 4 WHEN sensitivity = 'medium' THEN 1 ELSE 0 END), 0) AS points,
+    "dt_doc": """SELECT d.doc_id, count(t.ord) AS types, CAST(coalesce(sum(CASE WHEN sensitivity = 'critical' THEN CASE WHEN gdpr_special_category
+            THEN 10 ELSE 8 END WHEN sensitivity = 'high' THEN 4 WHEN sensitivity = 'medium' THEN 1 ELSE 0 END), 0) AS BIGINT) AS points,
             count(*) FILTER (WHERE shared) AS n_shared FROM §docs d LEFT JOIN §dt t USING (doc_id) GROUP BY d.doc_id""",
     "site": """SELECT d.doc_id, d.domain, d.policy_found, length(d.text) AS chars, CASE WHEN NOT d.policy_found THEN 'no_policy'
             WHEN length(d.text) < 100 THEN 'unreadable' ELSE 'full' END AS state, t.types, t.points, t.n_shared, s.n AS n_recipients,
