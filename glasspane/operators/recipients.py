@@ -7,17 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rules import recipients as R
-from ..rules.wording import LEGAL_ENTITY
+from ..rules.wording import ENTITY_FORMS, LEGAL_ENTITY
 from ..sources import dims
+from .wording import WORDS, entity_in
 
 NAMED = rf"(?:{LEGAL_ENTITY}|\b(?:{'|'.join(R.BRANDS)})\b)"
 
 
+_BRAND = rf"\b(?:{'|'.join(R.BRANDS)})\b"
+_PIECE = rf"(?=[A-Zc])(?:{WORDS}(?:{ENTITY_FORMS}\b|[A-Z][a-z]+\b)?|{_BRAND})"
+
+
 def names(text: str) -> str:
-    """Distinct names in alphabetical order."""
-    # Every name begins with a capital letter or the "c" of one brand, so most positions fail on their first character.
-    found = f"regexp_extract_all({text}, {T.rule('(?=[A-Zc])' + NAMED)}, 0)"
-    return f"array_sort(array_distinct({found}))"
+    """Distinct names in alphabetical order: legal entities, and brands outside of them.
+
+    Every name begins with a capital letter or the "c" of one brand, so most positions fail on their first character.
+    A run of capitalised words gives at most one entity, which starts it; brands are looked for behind that.
+    """
+    pieces = f"regexp_extract_all({text}, {T.quote(_PIECE)}, 0)"
+
+    def inside(piece: str) -> str:
+        brands = T.quote("(?=[A-Zc])" + _BRAND)
+        return T.let(entity_in(piece), lambda e: (
+            f"concat(filter(array({e}), n -> n <> ''), "
+            f"regexp_extract_all(substring({piece}, length({e}) + 1), {brands}, 0))"))
+
+    return f"array_sort(array_distinct(flatten({T.each(pieces, inside)})))"
 
 
 def key(name: str) -> str:

@@ -8,11 +8,28 @@ from ..functions import text as T
 from ..rules import wording as R
 
 
+# The Java engine recurses once per word where a repeated group may give words back, and a list of some thousand names
+# would exhaust the stack of a task. So a whole run of capitalised words is taken without giving back, and the name is
+# the part of the run up to its last legal form.
+WORDS = r"\b(?:[A-Z][a-z]+\s+)++"
+NAME_IN_RUN = rf"^[A-Z][A-Za-z\s]*\s{R.ENTITY_FORMS}(?=\s|$)"
+
+
+def entity_in(run: str) -> str:
+    """Legal entity in a run of capitalised words, "" without one."""
+    return f"regexp_extract({run}, {T.rule(NAME_IN_RUN)}, 0)"
+
+
+def entities(text: str) -> str:
+    """Legal entities of a text, in order."""
+    runs = f"regexp_extract_all({text}, {T.quote(rf'(?=[A-Z]){WORDS}(?:{R.ENTITY_FORMS}\b)?')}, 0)"
+    return f"filter({T.each(runs, entity_in)}, e -> e <> '')"
+
+
 def named_parties(text: str, low: str) -> str:
     """Well-known names in list order, then legal entities in text order; first 30 distinct."""
     known = T.each(T.literals_in(low, R.KNOWN_NAMES), lambda n: f"initcap({n})")
-    entities = T.all_matches(text, R.LEGAL_ENTITY)
-    return f"slice(array_distinct(concat({known}, {entities})), 1, {R.MAX_NAMES})"
+    return f"slice(array_distinct(concat({known}, {entities(text)})), 1, {R.MAX_NAMES})"
 
 
 def accountability(low: str) -> str:

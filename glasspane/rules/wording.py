@@ -30,8 +30,8 @@ KNOWN_NAMES = ("google analytics", "google ads", "google tag manager", "google l
                "braintree", "square", "amazon web services", "aws", "cloudflare", "zendesk", "intercom", "drift",
                "mixpanel", "amplitude", "segment", "heap", "hotjar", "fullstory", "logrocket", "criteo",
                "doubleclick", "adroll", "microsoft", "apple", "adobe", "twilio", "sendgrid", "optimizely", "vwo")
-LEGAL_ENTITY = (r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+"
-                r"(?:Inc\.?|LLC\.?|Ltd\.?|Corp\.?|GmbH|S\.A\.|B\.V\.|AG|PLC|SE)\b")
+ENTITY_FORMS = r"(?:Inc\.?|LLC\.?|Ltd\.?|Corp\.?|GmbH|S\.A\.|B\.V\.|AG|PLC|SE)"
+LEGAL_ENTITY = rf"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+{ENTITY_FORMS}\b"
 
 # Passive and active phrases. "we share" is counted by two active patterns.
 PASSIVE = (

@@ -129,3 +129,29 @@ def test_same_domain_twice_in_recent(spark):
     assert [x.domain for x in history.recent(r, 3).collect()] == ["b", "a", "a"]
     c = {x.domain: x for x in history.compare(r).collect()}
     assert c["a"].score_delta == 10 and c["b"].message == "Not enough history for comparison"
+
+
+def test_names_equal_a_plain_search(policies):
+    """Entities and brands as a backtracking search finds them, on random arrangements of telling words."""
+    import random
+    import re
+
+    from glasspane.rules.wording import LEGAL_ENTITY
+    words = ["Acme", "Blue", "Inc", "Inc.", "LLC", "Ltd", "Ltd.,", "GmbH", "S.A.", "S.A.Blue", "Google", "Stripe", "PayPal", "Constant", "Contact",
+             "we", "X", "comScore", "AG", "SE,", "Mc-Neil", "\n", "Corp", "UPS", "Incorporated", "Google."]
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    docs = policies(*texts)
+    got = docs.select("doc_id", recipients.T.over_text(lambda text, _: recipients.names(text)).alias("n"),
+                      wording.T.over_text(lambda text, _: wording.entities(text)).alias("e")).collect()
+    for r in got:
+        text = texts[r.doc_id]
+        assert r.n == sorted({m.group(0) for m in re.finditer(recipients.NAMED, text)}), text
+        assert r.e == [m.group(0) for m in re.finditer(LEGAL_ENTITY, text)], text
+
+
+def test_long_lists_of_names_do_not_exhaust_the_stack(policies):
+    docs = policies("Anna Bert " * 50_000 + "Acme Inc. and Google")
+    assert one(recipients.mentioned(docs).select("name").where("name = 'Google'")).name == "Google"
+    found = one(wording.detect(docs).select("wording.named_third_parties")).named_third_parties
+    assert found[-1].endswith("Acme Inc")
