@@ -295,24 +295,14 @@ def _(spark, path):
 
 
 def _label_sql() -> str:
-    """First link of each label; with the given pages no link names two labels, so the labels do not compete."""
+    """First link of each label. No link of the given pages names two labels, so here the labels do not compete."""
     parts = " UNION ALL ".join(
         f"""SELECT page_id, {q(k)} AS label, arg_min("full", i) AS url FROM §lnk1 WHERE starts_with("full", 'http') AND ({' OR '.join(
-            f"contains(lower(href), {q(w)}) OR contains(lower(text), {q(w)})" for w in words)}) AND NOT ({prior}) GROUP BY page_id"""
-        for k, words, prior in _label_parts())
+            f"contains(lower(href), {q(w)}) OR contains(lower(text), {q(w)})" for w in words)}) GROUP BY page_id"""
+        for k, words in trust_rules.LABEL_WORDS.items())
     return f"SELECT page_id, label, url FROM ({parts})"
 
 
-def _label_parts():
-    seen = ["FALSE"]
-    for k in trust_rules.PAGE_LABELS:
-        words = trust_rules.LABEL_WORDS[k]
-        yield k, words, " OR ".join(seen)
-        if k == "privacy":
-            seen.append(" OR ".join(f"contains(lower(href), {q(w)}) OR contains(lower(text), {q(w)})" for w in words)
-                        + " AND FALSE")
-
-
 @query("p19_company_pages", _label_sql())
 def _(spark, path):
     return discovery.label_links(_pages(spark, path), trust_rules.LABEL_WORDS, trust_rules.PAGE_LABELS)
