@@ -51,6 +51,18 @@ def labels(df: DataFrame, kind: str) -> DataFrame:
     return good.groupBy("doc_id").agg(F.max(kind).cast("int").alias("label"))
 
 
+def sample(docs: DataFrame, marks: DataFrame, kind: str, held_out: Column, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text, label of at most `rows` ids of each label that are not held out, and how many ids each label has.
+
+    The ids are drawn by hash from the labels alone and sent to all tasks (2 x `rows` numbers), so no text is moved.
+    """
+    known = labels(marks, kind).where(~held_out)
+    count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+    return picked, count
+
+
 def blocks(batch: pa.RecordBatch, name: str = "body") -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows of a batch with their texts, each about BLOCK_BYTES long."""
     column = batch.column(batch.schema.get_field_index(name))

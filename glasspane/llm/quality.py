@@ -154,19 +154,14 @@ def fit(bodies: list[bytes], truth: np.ndarray, rounds: int = 8, batch: int = 48
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 500, sample_bytes: int = 32768) -> Network:
     """The network fitted on labelled rows that are not held out."""
-    known = docs.where(~held_out).select("doc_id", "text").join(C.labels(labels, "quality"), "doc_id")
-    count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample, usable = [], known.where(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
-    for label in (0, 1):
-        picked = usable.where(F.col("label") == label).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("by"))
-        ids = picked.select("by").orderBy("by").limit(sample_rows).agg(F.max("by")).first()[0]
-        if ids is not None:
-            sample += [(r["text"] or "", label) for r in picked.where(F.col("by") <= ids).orderBy("by").limit(sample_rows).collect()]
+    picked, count = C.sample(docs, labels, "quality", held_out, sample_rows)
+    usable = picked.where(F.octet_length("text") <= sample_bytes)
+    sample = [(r["text"], k) for k in (0, 1) for r in usable.where(F.col("label") == k).orderBy("doc_id", "text").limit(sample_rows).collect()]
     truth = np.array([x[1] for x in sample], float)
     if not 0 < truth.sum() < len(truth):
         net = Network.fresh(0)
         net.out[:] = 0
-        net.shift = 0.0 if not len(truth) else 40.0 * (2 * truth[0] - 1)
+        net.shift = 0.0 if not count else 40.0 * (2 * bool(count.get(1)) - 1) if len(count) == 1 else float(np.log(count[1] / count[0]))
         return net
     net = fit([x[0].encode() for x in sample], truth)
     ones = truth.mean()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import contamination, mixing, neardup, pii, quality
+from . import contamination, mixing, neardup, pii, quality, toxicity
 
 # Target weights of the mix; what is not named shares REST_WEIGHT.
 TARGETS = {f"src{i}": 1.0 + i % 5 for i in range(20)}
@@ -31,6 +31,11 @@ def mix_sources(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix(rows, TARGETS, REST_WEIGHT).drop("text")
 
 
+def toxicity_scores(spark: SparkSession, path: str) -> DataFrame:
+    docs, held_out = read(spark, path, "documents"), C.fold("doc_id", 5) == 0
+    return toxicity.score(docs, toxicity.train(docs, read(spark, path, "labels"), held_out), held_out)
+
+
 def find_personal_data(spark: SparkSession, path: str) -> DataFrame:
     rows = pii.find(read(spark, path, "documents"))
     return rows.select("doc_id", *[counted("base", k) for k in pii.KINDS], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
@@ -51,6 +56,7 @@ def quality_scores(spark: SparkSession, path: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": mix_sources,
+    "op3_toxicity": toxicity_scores,
     "op5_personal_data": find_personal_data,
     "op7_benchmark_leaks": benchmark_leaks,
     "op8_near_duplicates": near_duplicates,
