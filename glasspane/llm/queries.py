@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import contamination, mixing, neardup, pii, quality, toxicity
+from . import contamination, hmm, mixing, neardup, pii, quality, repetition, toxicity
 
 # Target weights of the mix; what is not named shares REST_WEIGHT.
 TARGETS = {f"src{i}": 1.0 + i % 5 for i in range(20)}
@@ -54,13 +54,23 @@ def quality_scores(spark: SparkSession, path: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read(spark, path, "labels"), held_out), held_out)
 
 
+def repetition_rules(spark: SparkSession, path: str) -> DataFrame:
+    return repetition.judge(read(spark, path, "documents"))
+
+
+def language_model(spark: SparkSession, path: str) -> DataFrame:
+    return hmm.score(hmm.train(read(spark, path, "documents"), C.fold("doc_id", 10) == 0))
+
+
 QUERIES = {
     "op2_mixing": mix_sources,
     "op3_toxicity": toxicity_scores,
     "op5_personal_data": find_personal_data,
+    "op6_repetition": repetition_rules,
     "op7_benchmark_leaks": benchmark_leaks,
     "op8_near_duplicates": near_duplicates,
     "op9_quality": quality_scores,
+    "op10_language_model": language_model,
 }
 
 _SHARES = mixing.shares(TARGETS, REST_WEIGHT)
