@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import contamination, hmm, mixing, neardup, pii, quality, repetition, toxicity
+from . import contamination, hmm, mixing, neardup, pii, quality, repetition, secrets, toxicity, urlrules
 
 # Target weights of the mix; what is not named shares REST_WEIGHT.
 TARGETS = {f"src{i}": 1.0 + i % 5 for i in range(20)}
@@ -17,6 +17,10 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+# Written address rules of the check.
+ADDRESS_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
 def listed(spans: Column) -> Column:
     """Spans as kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
@@ -26,6 +30,17 @@ def counted(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def find_secrets(spark: SparkSession, path: str) -> DataFrame:
+    rows = secrets.find(read(spark, path, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    return rows.select("doc_id", *[counted("spans", k) for k in secrets.BASE], F.sha2(listed(base), 256).alias("base_sha256"),
+                       listed(F.col("spans")).alias("spans"))
+
+
+def judge_addresses(spark: SparkSession, path: str) -> DataFrame:
+    return urlrules.judge(read(spark, path, "pages"), ADDRESS_RULES)
+
+
 def mix_sources(spark: SparkSession, path: str) -> DataFrame:
     rows = read(spark, path, "documents").select("doc_id", "source", "text")
     return mixing.mix(rows, TARGETS, REST_WEIGHT).drop("text")
@@ -63,8 +78,10 @@ def language_model(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": find_secrets,
     "op2_mixing": mix_sources,
     "op3_toxicity": toxicity_scores,
+    "op4_address_rules": judge_addresses,
     "op5_personal_data": find_personal_data,
     "op6_repetition": repetition_rules,
     "op7_benchmark_leaks": benchmark_leaks,
