@@ -5,9 +5,9 @@
 * Signature: every shingle, weighted with 1 + ln(its count), is a Poisson process. Its arrivals go to random registers, and
   each register keeps the shingle that comes first. A text is done as soon as no shingle can come before the latest first
   arrival. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
-* Banding: 16 bands of 4 registers. In each bucket every text is paired with one representative, drawn anew for each band
-  and round; a bucket in which texts are still apart after verification gets further rounds. So the pairs grow with the
-  number of texts, never with the square of a bucket.
+* Banding: 16 bands of 4 registers. In each bucket every text is paired with a representative, drawn anew for each band. A
+  bucket in which texts are still in different classes after verification gets further rounds, with `heads` representatives each, until
+  a round links nothing. So the pairs grow with the number of texts, never with the square of a bucket.
 * Verification: exact Jaccard similarity of the two sets of shingles. Linked texts form classes.
 
 Words are compared in lower case (A-Z). A text of one to four words is one shingle. Null and empty texts and those without a
@@ -104,15 +104,15 @@ def _identified(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).cast("binary").alias("body"))
 
 
-def _candidates(buckets: DataFrame, turn: int, least: float) -> DataFrame:
+def _candidates(buckets: DataFrame, turn: int, heads: int, least: float) -> DataFrame:
     """Pairs (a, b) of a representative of a bucket and the other texts in it that are as long as similarity needs.
 
     buckets: band, key, size and root, the class of the text so far; only texts of other classes are paired.
     """
-    lead = F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("by"), "key", "size", "root")
-    heads = (buckets.groupBy("band").agg(F.min(lead).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low <> high").select("band", "head"))
-    paired = buckets.join(heads, "band").where(
+    lead = [F.min(F.struct(F.xxhash64("key", "band", F.lit(turn * 100 + h)).alias("by"), "key", "size", "root")) for h in range(heads)]
+    drawn = C.durable(buckets.groupBy("band").agg(F.array(*lead).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
+                      .where("low <> high").select("band", F.explode("heads").alias("head")).distinct())
+    paired = buckets.join(drawn, "band").where(
         (F.col("root") != F.col("head.root")) & (F.least("size", "head.size") >= least * F.greatest("size", "head.size")))
     return paired.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct()
 
@@ -124,7 +124,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(both >= F.lit(least) * either).select("a", "b")
 
 
-def classes(docs: DataFrame, least: float = 0.8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 6) -> tuple[DataFrame, DataFrame]:
     """The rows (id, key) and, for each distinct text, key, class_key, first_id (the smallest id of its rows) and copies."""
     rows = C.durable(_identified(docs).mapInArrow(C.by_block(_sign, _SIGNED), "id long, key binary, size int, bands array<long>"))
     distinct = C.durable(rows.groupBy("key").agg(
@@ -141,12 +141,12 @@ def classes(docs: DataFrame, least: float = 0.8, rounds: int = 3) -> tuple[DataF
         now = buckets.withColumn("root", F.col("key"))
         if root is not None:
             now = buckets.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        new = C.durable(_verified(_candidates(now, turn, least), sets, least))
+        new = C.durable(_verified(_candidates(now, turn, heads if turn else 1, least), sets, least))
         found = new.limit(1).count()
         if found:
             links = new if links is None else links.union(new)
             root = components(links)
-        if not found and turn:
+        elif turn:
             break
     texts = distinct.drop("bands", "any_id", "size")
     if root is None:
