@@ -172,7 +172,7 @@ def find(docs: DataFrame, **how) -> DataFrame:
 def masked(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs with all their columns; in text, each span is replaced by its kind in angle brackets, like <EMAIL>.
 
-    Spans that overlap become one mark, named after the first. A null text stays null; n_chars, where there is one, follows.
+    Spans that overlap become one mark, named after the first. A text without spans stays as it is, null too; of a masked one, n_chars follows.
     """
     found = _new_spans(extracted(docs), "key", **how).select(F.col("key").alias("pii_key"), "found")
     rows = docs.withColumn("pii_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
@@ -183,5 +183,5 @@ def masked(docs: DataFrame, **how) -> DataFrame:
         upper(replace(x.kind, 'found_', '')), '>') END), s -> concat(s.out, substring(text, int(s.at) + 1)))""")
     rows = rows.withColumn("text", F.when(F.size("pii_spans") > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+        rows = rows.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
