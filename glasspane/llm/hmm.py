@@ -8,7 +8,7 @@ the rare ones, (c + 0.1) / Z, where Z sums this over all rare words and one that
   counts of starts, transitions and emissions; Spark sums them by index, and one round's sums are the next model. For
   training only, texts are cut into pieces of PIECE tokens, later pieces starting from the stationary distribution.
 * Scoring: the scaled forward recursion over each whole text, many texts side by side, gives its exact likelihood.
-* Counts of words beyond the TOP most frequent ones never leave the cluster: texts meet them in a join by word, and only the
+* Counts of words beyond the TOP most frequent ones (or a few less, so that equal counts stay together) never leave the cluster: texts meet them in a join by word, and only the
   words of a text that are not among the TOP, once each, move.
 
 Null and empty texts consist of the end alone. Ids may be null (they count as the empty text for the fold) or repeated; every
@@ -208,6 +208,21 @@ def _expect(shared):
     return run
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most `most`: those whose count reaches the lowest step that so many reach.
+
+    Steps are sixteenths of a doubling, so a histogram of a few hundred numbers finds the step, and no task sees more than its share.
+    """
+    stepped = counts.withColumn("step", F.floor(F.log2("n") * 16).cast("long"))
+    reached, least = 0, None
+    for r in sorted(stepped.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        reached += r["count"]
+        if reached > most:
+            break
+        least = r["step"]
+    return stepped.where(F.lit(False) if least is None else F.col("step") >= least).drop("step")
+
+
 @dataclass
 class Trained:
     lexicon: Lexicon
@@ -224,7 +239,7 @@ def train(docs: DataFrame, held_out: Column, states: int = 8, symbols: int = 1 <
     counts = C.durable(training.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"),
                        F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("end")).first()
-    best = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(top).toArrow()
+    best = _frequent(counts.where(F.col("word") != F.lit(END)), top).toArrow()
     order = sorted(zip((-best["n"].to_numpy()).tolist(), best["word"].to_pylist()))
     lexicon = Lexicon({w: i for i, (_, w) in enumerate(order)}, np.array([-n for n, _ in order], np.int64), total["tokens"], total["types"], symbols)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
