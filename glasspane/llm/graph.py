@@ -16,15 +16,26 @@ def components(links: DataFrame) -> DataFrame:
     links gives no rows.
     """
     both = C.durable(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    label = C.durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-                      .select("node", F.least("node", "least").alias("root")))
+    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"))
+    label = C.durable(label)
     while True:
         told = (both.join(label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node"))
                 .agg(F.min("root").alias("heard")))
         new = label.join(told, "node").select("node", F.least("root", "heard").alias("via"), F.col("root").alias("was"))
         jump = label.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
         new = C.durable(new.join(jump, "via", "left").select("node", F.least("via", F.coalesce("beyond", "via")).alias("root"), "was"))
-        changed = new.where("root <> was").limit(1).count()
-        label = new.select("node", "root")
-        if not changed:
+        if new.where("root <> was").isEmpty():
             return label
+        label = new.select("node", "root")
+
+
+def merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) after more links (a, b): only links between different components are followed."""
+    for k in "ab":
+        known = root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+        links = links.join(known, k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
+    links = C.durable(links)
+    joined = components(links.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    nodes = root.union(links.select("a", "root_a")).union(links.select("b", "root_b")).distinct()
+    to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return C.durable(nodes.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .graph import components
+from .graph import components, merged
 
 REGISTERS, BANDS = 64, 16
 NO_ID = -2**63
@@ -136,21 +136,16 @@ def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 6
     wanted = distinct.join(buckets.select("key").distinct(), "key", "left_semi").select("key", F.col("any_id").alias("id"))
     texts = _identified(docs).join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
     sets = C.durable(texts.mapInArrow(C.by_block(_sets, _SETS), "key binary, shingles array<long>"))
-    links, root = None, None
+    root = None
     for turn in range(rounds):
-        now = buckets.withColumn("root", F.col("key"))
+        apart = buckets.withColumn("root", F.col("key"))
         if root is not None:
-            now = buckets.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        new = C.durable(_verified(_candidates(now, turn, heads if turn else 1, least), sets, least))
-        found = new.limit(1).count()
-        if found:
-            links = new if links is None else links.union(new)
-            root = components(links)
-        elif turn:
+            apart = buckets.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        new = C.durable(_verified(_candidates(apart, turn, heads if turn else 1, least), sets, least))
+        if new.isEmpty() and turn:
             break
+        root = components(new) if root is None else merged(root, new)
     texts = distinct.drop("bands", "any_id", "size")
-    if root is None:
-        return rows, texts.withColumn("class_key", F.col("key"))
     return rows, texts.join(root.withColumnRenamed("node", "key"), "key", "left").select(
         "key", F.coalesce("root", "key").alias("class_key"), "first_id", "copies")
 

@@ -110,15 +110,20 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _batches(sizes: list[int], order: np.ndarray, most: int) -> list[np.ndarray]:
+    """The order in runs of at most `most` texts and about 128 kB."""
+    turn = np.cumsum([sizes[i] for i in order]) // (128 << 10)
+    cuts = np.flatnonzero(np.diff(turn)) + 1
+    return [run[i:i + most] for run in np.split(order, cuts) for i in range(0, len(run), most) if len(run)]
+
+
 def fit(bodies: list[bytes], truth: np.ndarray, rounds: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
     """The network after `rounds` passes of Adam over the sample."""
     net, r = Network.fresh(seed), np.random.default_rng(seed)
     names = ("embedding", "filters", "bias", "out")
     first, second, t, channels = {}, {}, 0, DEPTH + 1
     for epoch in range(rounds):
-        order = r.permutation(len(bodies))
-        for at in range(0, len(order), batch):
-            pick = order[at:at + batch]
+        for pick in _batches([len(b) for b in bodies], r.permutation(len(bodies)), batch):
             raw, offset = _padded([bodies[i] for i in pick])
             repeats, (edges, begin) = _repeats(raw), _chunks(offset)
             response = net.windows(raw, repeats) @ net.filters
