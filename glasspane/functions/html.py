@@ -18,6 +18,35 @@ def elements(html: str, *tags: str) -> str:
     return f"filter(regexp_extract_all({html}, {quote(rule)}, 0), e -> NOT startswith(e, '<!--'))"
 
 
+TAG = r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+
+
+def tags(html: str) -> str:
+    """Opening and closing tags in page order; a ">" inside a quoted value does not end a tag."""
+    return f"regexp_extract_all({html}, {quote(_POSSESSIVE)}, 0)"
+
+
+def pieces(html: str) -> str:
+    """Text before, between and behind the tags."""
+    return f"split({html}, {quote(_POSSESSIVE)}, -1)"
+
+
+# The same tags without going back over a long one.
+_POSSESSIVE = r"""</?[a-zA-Z][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+
+
+def any_tag_name(element: str) -> str:
+    """Name of an opening or closing tag."""
+    return f"lower(regexp_extract({element}, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
+
+
+def text_lines(nodes: str, least: int) -> str:
+    """Lines of text nodes; lines of up to `least` characters are left out."""
+    split = f"split({unescape(f'array_join({nodes}, {quote(chr(10))})')}, {quote(chr(10))})"
+    trimmed = f"transform({split}, n -> regexp_replace(n, {quote(r'^\s+|\s+$')}, ''))"
+    return f"array_join(filter({trimmed}, n -> length(n) > {least}), {quote(chr(10))})"
+
+
 def tag_name(element: str) -> str:
     return f"lower(regexp_extract({element}, '^<([a-zA-Z][a-zA-Z0-9]*)', 1))"
 

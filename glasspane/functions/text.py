@@ -26,10 +26,10 @@ _names = itertools.count()
 
 
 def searchable(text: Column) -> Column:
-    """Lower-cased copy of a text with the same character positions."""
+    """Lower-cased copy of a text with the same character positions (the one letter whose small form is longer, U+0130, becomes "i")."""
     ascii_only = F.octet_length(text) == F.length(text)
     return F.when(ascii_only, F.lower(text)).otherwise(
-        F.lower(F.translate(text, WIDE_SPACES, "\t" * len(WIDE_SPACES))))
+        F.lower(F.translate(text, WIDE_SPACES + "\u0130", "\t" * len(WIDE_SPACES) + "i")))
 
 
 def quote(value) -> str:
@@ -317,6 +317,11 @@ def counted_literals(low: str, terms) -> str:
         term=t, n=f"cast((length({low}) - length(replace({low}, {t}, ''))) / length({t}) as int)"))
 
 
+def words(text: str) -> str:
+    """Number of words; wide spaces part words too."""
+    return f"regexp_count(translate({text}, {quote(WIDE_SPACES)}, {quote(' ' * len(WIDE_SPACES))}), {quote(chr(92) + 'S+')})"
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES)), F.lit(r"\S+"))
 

@@ -105,10 +105,11 @@ def judge(stored: DataFrame) -> DataFrame:
 
 
 def canonical(pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored pages at the usual paths of a site: page_id, ord, url. Candidates are exploded, then joined by address."""
-    paths = pages.select("page_id", F.posexplode(F.expr(
-        f"transform({T.literals(R.POLICY_PATHS)}, p -> concat(base, p))")).alias("ord", "url"))
-    return paths.join(stored.select("url"), "url", "left_semi").select("page_id", "ord", "url")
+    """Stored pages at the usual paths of a site: page_id, ord, url. A stored address is cut into base and path; sites meet it by base."""
+    base = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    ord = F.expr(T.lookup({p: i for i, p in enumerate(R.POLICY_PATHS)}, "path"))
+    kept = stored.select("url", base.alias("base")).distinct().withColumn("path", F.expr("substring(url, length(base) + 1)"))
+    return pages.select("page_id", "base").join(kept.withColumn("ord", ord).where("ord IS NOT NULL"), "base").select("page_id", "ord", "url")
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
@@ -154,10 +155,11 @@ def choose(pages: DataFrame, stored: DataFrame, robots: DataFrame, sitemaps: Dat
                                                           "url"))
              .unionByName(sitemap_choice(robots, sitemaps).select("page_id", F.lit("sitemap").alias("method"),
                                                                   F.lit(0).alias("ord"), "url")))
-    pages_read = stored.select("url", F.expr(T.let("html", lambda h: H.visible_text(h, R.DROPPED_TAGS, R.MIN_LINE)))
+    asked = stored.join(found.select("url").distinct(), "url", "left_semi")
+    pages_read = asked.select("url", F.expr(T.let("html", lambda h: H.visible_text(h, R.DROPPED_TAGS, R.MIN_LINE)))
                                .alias("text"))
     judged = judge(pages_read.select("url", F.col("url").alias("requested"), "text", F.lit("").alias("embedded")))
-    ok = judged.where("valid").select("url", F.regexp_count("kept", F.lit(r"\S+")).alias("word_count"))
+    ok = judged.where("valid").select("url", T.word_count(F.col("kept")).alias("word_count"))
     rank = F.expr(T.lookup(way, "method"))
     return (found.join(ok, "url").groupBy("page_id")
             .agg(F.min_by(F.struct("method", F.col("url").alias("policy_url"), "word_count"),

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,10 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .ordered import previous
 
-DIFF_SCHEMA = ("pair_id long, domain string, added_lines int, removed_lines int, similarity_ratio double, "
-               "change_summary string, snippets array<struct<type:string,old:string,new:string>>")
-
-
 def versions(fetches: DataFrame) -> DataFrame:
     """First fetch of every distinct text of a domain; the newest of them is current.
 
@@ -27,10 +19,10 @@ def versions(fetches: DataFrame) -> DataFrame:
     opened = hashed.groupBy("domain", "content_hash").agg(F.min(F.struct("fetched_at", "fetch_id")).alias("first"))
     first = opened.select("domain", "content_hash", "first.fetched_at", "first.fetch_id")
     newest = first.groupBy("domain").agg(F.max(F.struct("fetched_at", "fetch_id")).alias("m")).select(
-        "domain", F.col("m.fetch_id").alias("_current"))
-    return first.join(newest, "domain").select(
+        F.col("m.fetch_id").alias("_current"))
+    return first.join(newest, F.col("fetch_id") == F.col("_current"), "left").select(
         F.col("fetch_id").alias("version_id"), "domain", "content_hash", "fetched_at",
-        (F.col("fetch_id") == F.col("_current")).alias("is_current"))
+        F.col("_current").isNotNull().alias("is_current"))
 
 
 def with_text(found: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -40,10 +32,6 @@ def with_text(found: DataFrame, fetches: DataFrame) -> DataFrame:
     return found.join(texts, "version_id")
 
 
-def text_of(found: DataFrame, version_id: int) -> DataFrame:
-    return found.where(F.col("version_id") == version_id).select("raw_text").limit(1)
-
-
 def pairs(found: DataFrame) -> DataFrame:
     """Neighbouring versions of a domain: old and new version id. Texts stay out of it."""
     slim = found.select("domain", "version_id", "fetched_at")
@@ -53,12 +41,12 @@ def pairs(found: DataFrame) -> DataFrame:
 
 
 def paired_texts(found_pairs: DataFrame, fetches: DataFrame) -> DataFrame:
-    texts = fetches.select("fetch_id", "text")
-    return (found_pairs
-            .join(texts.select(F.col("fetch_id").alias("old_version_id"), F.col("text").alias("old_text")),
-                  "old_version_id")
-            .join(texts.select(F.col("fetch_id").alias("new_version_id"), F.col("text").alias("new_text")),
-                  "new_version_id"))
+    """Pairs with both texts: every text is looked up once, for the pairs in which it is old or new."""
+    sides = F.explode(F.array(F.struct(F.col("old_version_id").alias("fetch_id"), F.lit(True).alias("old")),
+                              F.struct(F.col("new_version_id").alias("fetch_id"), F.lit(False).alias("old")))).alias("s")
+    met = found_pairs.select("*", sides).join(fetches.select(F.col("fetch_id").alias("_id"), "text"), F.col("s.fetch_id") == F.col("_id"))
+    return met.groupBy(*found_pairs.columns).agg(F.max(F.when(F.col("s.old"), F.col("text"))).alias("old_text"),
+                                                 F.max(F.when(~F.col("s.old"), F.col("text"))).alias("new_text"))
 
 
 def line_changes(fetches: DataFrame, found_pairs: DataFrame) -> DataFrame:
@@ -84,37 +72,6 @@ def line_changes(fetches: DataFrame, found_pairs: DataFrame) -> DataFrame:
         F.round(F.sum(F.least("a", "b")) * 2.0 / F.sum(F.col("a") + F.col("b")), 4).alias("similarity_ratio"))
 
 
-def _compare(old: str, new: str) -> dict:
-    a, b = old.splitlines(), new.splitlines()
-    match = difflib.SequenceMatcher(None, a, b)
-    ratio, added, removed, shown = match.ratio(), 0, 0, []
-    names = {"replace": "changed", "delete": "removed", "insert": "added"}
-    for tag, i1, i2, j1, j2 in match.get_opcodes():
-        if tag == "equal":
-            continue
-        removed, added = removed + i2 - i1, added + j2 - j1
-        if len(shown) < 5:
-            shown.append({"type": names[tag], "old": " ".join(a[i1:i2])[:200] or None,
-                          "new": " ".join(b[j1:j2])[:200] or None})
-    return {"added_lines": added, "removed_lines": removed, "similarity_ratio": round(ratio, 4),
-            "change_summary": f"Policy updated: +{added} lines added, -{removed} lines removed ({ratio:.0%} similar)",
-            "snippets": shown}
-
-
-def ordered_diff(texts: DataFrame) -> DataFrame:
-    """Exact ordered line diff per pair of neighbours (quadratic at worst, so only for pairs whose hash differs).
-
-    Pairs are spread by their id, so the versions of one busy domain are compared on many executors.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = [{"pair_id": i, "domain": d, **_compare(o, n)} for i, d, o, n in zip(
-                p["new_version_id"], p["domain"], p["old_text"], p["new_text"])]
-            yield pd.DataFrame(rows, columns=["pair_id", "domain", "added_lines", "removed_lines", "similarity_ratio",
-                                              "change_summary", "snippets"])
-    return texts.select("new_version_id", "domain", "old_text", "new_text").mapInPandas(run, DIFF_SCHEMA)
-
-
 def latest(results: DataFrame) -> DataFrame:
     """Newest result of each domain."""
     cols = [c for c in results.columns if c != "domain"]
@@ -168,10 +125,9 @@ def needs_refresh(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def new_versions(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Texts of a batch that no earlier batch has seen: one row per new (domain, hash)."""
-    hashed = batch.withColumn("content_hash", F.sha2("text", 256))
-    first = hashed.groupBy("domain", "content_hash").agg(
-        F.min_by(F.struct("fetched_at", "fetch_id", "policy_url", F.col("text").alias("raw_text")),
-                 F.struct("fetched_at", "fetch_id")).alias("f"))
-    rows = first.select("domain", "content_hash", "f.*")
-    return rows.join(known.select("domain", "content_hash"), ["domain", "content_hash"], "left_anti")
+    """Texts of a batch that no earlier batch has seen: one row per new (domain, hash). Only texts that are new are moved."""
+    hashed = batch.select("domain", F.sha2("text", 256).alias("content_hash"), "fetched_at", "fetch_id")
+    first = hashed.groupBy("domain", "content_hash").agg(F.min(F.struct("fetched_at", "fetch_id")).alias("f"))
+    fresh = first.select("domain", "content_hash", "f.*").join(known.select("domain", "content_hash"), ["domain", "content_hash"], "left_anti")
+    return fresh.join(batch.select("fetch_id", "policy_url", F.col("text").alias("raw_text")), "fetch_id").select(
+        "domain", "content_hash", "fetched_at", "fetch_id", "policy_url", "raw_text")

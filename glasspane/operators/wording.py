@@ -68,7 +68,7 @@ def _counts(text: str, low: str) -> str:
             f"cast({T.matches(low, p)} as int)" for p in R.SPECIFIC_PURPOSES) + ")",
         named=named_parties(text, low), passive=T.count_all(low, R.PASSIVE), active=T.count_all(low, R.ACTIVE),
         accountability=accountability(low), mean_sentence=sentence_length(text),
-        words=f"regexp_count({text}, '\\\\S+')", groups=str(groups))
+        words=T.words(text), groups=str(groups))
 
 
 def _analyse(text: str, low: str) -> str:

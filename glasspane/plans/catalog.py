@@ -200,12 +200,12 @@ def _(spark, path):
     return extraction.main_text(_pages(spark, path)).select("page_id", "text")
 
 
-@query("p5_container_text")
+@query("p5_container_text", "SELECT page_id, text FROM §ctext")
 def _(spark, path):
     return extraction.container_text(_pages(spark, path))
 
 
-@query("p6_embedded_text")
+@query("p6_embedded_text", "SELECT page_id, embedded FROM §embed")
 def _(spark, path):
     return extraction.embedded_text(_pages(spark, path))
 
@@ -645,9 +645,9 @@ query("a26_data_brokers", "SELECT doc_id, data_brokers FROM §share")(_sharing("
 
 
 @query("t2_least_trusted", """SELECT doc_id, name, trust_score, rank FROM (SELECT doc_id, name, trust_score, row_number() OVER (PARTITION BY doc_id
-    ORDER BY trust_score, name) AS rank FROM §party) WHERE rank <= 3""")
+    ORDER BY trust_score, name) AS rank FROM §party) WHERE rank <= 30""")
 def _(spark, path):
-    return reports.least_trusted(_parties(spark, path), 3).select("doc_id", "name", "trust_score", "rank")
+    return reports.least_trusted(_parties(spark, path), party_rules.MAX_PARTIES).select("doc_id", "name", "trust_score", "rank")
 
 
 @query("t3_party_search", """SELECT doc_id, name, category, trust_score FROM §party WHERE contains(lower(name), 'advert') OR contains(lower(category), 'advert')""")
@@ -839,12 +839,6 @@ def _(spark, path):
     return history.line_changes(tables.fetches(spark, path), history.pairs(_versions(spark, path)))
 
 
-@query("h5_ordered_diff")
-def _(spark, path):
-    texts = history.paired_texts(history.pairs(_versions(spark, path)), tables.fetches(spark, path))
-    return history.ordered_diff(texts).withColumn("snippets", F.to_json("snippets"))
-
-
 @query("h2_incremental_upsert", """SELECT version_id, domain, content_hash FROM §ver WHERE lower(content_hash) NOT IN (SELECT sha256(text) FROM §fetch WHERE
     fetched_at < TIMESTAMP '2024-01-05' AND domain = §ver.domain)""".replace("§ver.domain", "b_ver.domain"))
 def _(spark, path):

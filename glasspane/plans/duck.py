@@ -156,7 +156,7 @@ _EDGE = r"[^\p{L}\p{N}_]"
 _ANY = r"[\s\S]"
 
 CTES = {
-    "docs": f"""SELECT *, lower(text) AS low FROM (SELECT doc_id, source AS domain, lang, source <> 'src7' AS policy_found,
+    "docs": f"""SELECT *, lower(replace(text, chr(304), 'i')) AS low FROM (SELECT doc_id, source AS domain, lang, source <> 'src7' AS policy_found,
         text || {NL} || {pick(seeds.CLAUSES, 'doc_id')} || {NL} || {pick(seeds.EXTRAS, 'doc_id')} AS text FROM documents)""",
     "pages": f"""SELECT page_id, url, {host(norm('url'))} AS domain,
         regexp_extract({norm('url')}, '^(https?://[^/?#]*)', 1) AS base,
@@ -478,6 +478,43 @@ CTES["spick"] = """SELECT page_id, url FROM (SELECT page_id, url, row_number() O
     SELECT r.page_id, r.ord, n.sub, h.pos, h.url FROM §rmap r JOIN §snest n USING (sitemap_url) JOIN §shit h ON h.sitemap_url = n.inner_url)) WHERE nth = 1"""
 
 
+_TAG = q(H.TAG)
+_WORDS = lambda name, ws: f"regexp_matches(lower(coalesce({attribute('tag', name)}, '')), {q('|'.join(ws))})"
+_LINES = lambda nodes, least: (
+    f"array_to_string(list_filter(list_transform(string_split({unescape(f'array_to_string({nodes}, {NL})')}, {NL}), "
+    f"lambda n: regexp_replace(n, '^\\s+|\\s+$', '', 'g')), lambda n: length(n) > {least}), {NL})")
+CTES["ctags"] = f"""SELECT page_id, regexp_extract_all(clean, {_TAG}) AS tags, string_split_regex(clean, {_TAG}) AS pieces FROM (
+    SELECT page_id, {gone('html', discovery.DROPPED_TAGS)} AS clean FROM §pages)"""
+CTES["ctag"] = """SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS i, lower(regexp_extract(unnest(tags), '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))
+    AS name FROM §ctags"""
+CTES["cbest"] = f"""SELECT page_id, arg_min(i, rank * 1000000 + i) AS opened, arg_min(name, rank * 1000000 + i) AS name FROM (SELECT *, CASE
+    WHEN starts_with(tag, '</') THEN NULL WHEN name = 'main' THEN 0 WHEN lower(coalesce({attribute('tag', 'role')}, '')) = 'main' THEN 1
+    WHEN {_WORDS('id', discovery.MAIN_ID_WORDS)} THEN 2 WHEN {_WORDS('class', discovery.MAIN_CLASS_WORDS)} THEN 3 WHEN name = 'article' THEN 4
+    WHEN name = 'body' THEN 5 END AS rank FROM §ctag) WHERE rank IS NOT NULL GROUP BY page_id"""
+CTES["cstop"] = """SELECT page_id, min(i) AS stop FROM (SELECT t.page_id, t.i, sum(CASE WHEN starts_with(t.tag, '</') THEN -1 ELSE 1 END) OVER (
+    PARTITION BY t.page_id ORDER BY t.i) AS depth FROM §ctag t JOIN §cbest b ON b.page_id = t.page_id AND b.name = t.name AND t.i >= b.opened)
+    WHERE depth = 0 GROUP BY page_id"""
+CTES["ctext"] = f"""SELECT t.page_id, {_LINES('pieces[coalesce(opened + 2, 1):coalesce(stop + 1, len(pieces))]' , discovery.MIN_LINE)} AS text
+    FROM §ctags t LEFT JOIN §cbest USING (page_id) LEFT JOIN §cstop USING (page_id)"""
+_VALUE = q(r'"((?:[^"\\]|\\.)*)"(?:\s*:)?')
+CTES["jstr"] = f"""SELECT page_id, string_agg(CASE WHEN contains(s, '<') AND contains(s, '>') THEN {_LINES("string_split_regex(s, '<[^>]*>')", 0)} ELSE s END,
+    {NL} ORDER BY idx, k) AS text FROM (SELECT page_id, idx, k, json_extract_string(v, '$') AS s FROM (SELECT page_id, idx, unnest(vs) AS v,
+    unnest(range(len(vs))) AS k FROM (SELECT page_id, idx, regexp_extract_all(body, {_VALUE}) AS vs FROM §jscript)) WHERE length(v) > 32 AND NOT ends_with(v, ':'))
+    WHERE length(s) > 30 GROUP BY page_id"""
+CTES["jscript"] = f"""SELECT page_id, idx, body FROM (SELECT page_id, idx, el, regexp_extract(el, '(?i)^<script\\b[^>]*>([\\s\\S]*?)</script\\s*>$', 1) AS body FROM (
+    SELECT page_id, unnest(es) AS el, unnest(range(len(es))) AS idx FROM (SELECT page_id, regexp_extract_all(html, {q(rf'(?i){H.COMMENT}|{H.SCRIPT}')}) AS es
+    FROM §pages)) WHERE NOT starts_with(el, '<!--')) WHERE coalesce({attribute('el', 'id')}, '') = '__NEXT_DATA__' OR (lower(coalesce({attribute('el', 'type')}, ''))
+    IN ('application/json', 'application/ld+json') AND length(body) > 100)"""
+CTES["jnos"] = f"""SELECT page_id, string_agg(t, {NL} ORDER BY k) AS text FROM (SELECT page_id, k, {_LINES("string_split_regex(m, '<[^>]*>')", 0)} AS t FROM (
+    SELECT page_id, unnest(ms) AS m, unnest(range(len(ms))) AS k FROM (SELECT page_id, list_concat(regexp_extract_all({gone('html', ())},
+    '(?i)<noscript\\b[^>]*>([\\s\\S]*?)</noscript\\s*>', 1), flatten(list_transform(list_filter(list_transform(list_filter(regexp_extract_all(html,
+    {q(rf'(?i){H.COMMENT}|{H.SCRIPT}')}), lambda e: NOT starts_with(e, '<!--')), lambda e: regexp_extract(e, '(?i)^<script\\b[^>]*>([\\s\\S]*?)</script\\s*>$', 1)),
+    lambda b: regexp_matches(lower(b), 'privacy|gizlilik|kvkk')), lambda b: regexp_extract_all(b, {q("""["'](<[^"']{200,})["']""")}, 1)))) AS ms FROM §pages)))
+    WHERE length(t) > 100 GROUP BY page_id"""
+CTES["embed"] = f"""SELECT p.page_id, {_LINES("[coalesce(j.text, ''), coalesce(n.text, '')]", discovery.MIN_LINE)} AS embedded FROM §pages p
+    LEFT JOIN §jstr j USING (page_id) LEFT JOIN §jnos n USING (page_id)"""
+
+
 _BLOCK = re.compile(r"§([a-z][a-z_0-9]*)")
 
 

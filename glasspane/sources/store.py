@@ -6,15 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared folder of the cluster for checkpoints; a fallback is set only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-        return fallback
-    return found
-
-
 def save_results(scored: DataFrame, path: str) -> None:
     """Appends scored sites with their documents, by day of analysis."""
     scored.withColumn("analyzed_date", F.to_date("analyzed_at")).write.mode("append").partitionBy(
@@ -23,7 +14,3 @@ def save_results(scored: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def append_versions(fresh: DataFrame, path: str) -> None:
-    fresh.write.mode("append").parquet(path)

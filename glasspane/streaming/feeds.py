@@ -31,11 +31,6 @@ def live_match(requests: DataFrame) -> DataFrame:
         "risk", F.expr(f"if(tracker IS NULL, NULL, {risk})"))
 
 
-def deduplicated(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Requests without repeated events, with bounded state (our extension)."""
-    return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def tumbling(matched: DataFrame, width: str = "1 hour", delay: str | None = None) -> DataFrame:
     """Tracker requests per time window (our extension)."""
     rows = matched.where(F.col("tracker").isNotNull() & (F.col("kind") == "request"))

@@ -55,5 +55,8 @@ def test_texts(homepages):
     assert native[0] == "Kept & read\nOutside"
     container = {r.page_id: r.text for r in extraction.container_text(pages).collect()}
     assert container[0] == "Kept & read"
+    nested = homepages('<p>Before</p><div class="main" title="a > b"><div>One<br>Two</div><div><div>Three</div></div></div><div>After</div>', '<p>Alone</p>',
+                       '<body>Never <i>closed</i>', '')
+    assert [r.text for r in extraction.container_text(nested).orderBy("page_id").collect()] == ["One\nTwo\nThree", "Alone", "Never\nclosed", ""]
     embedded = {r.page_id: r.embedded for r in extraction.embedded_text(pages).collect()}
     assert embedded == {0: "", 1: "x" * 60 + "\n" + "y" * 60}
