@@ -59,7 +59,6 @@ def chat(scored: DataFrame) -> DataFrame:
     t = "tracking"
     covered = "transform(filter(rights.gdpr, r -> r.covered), r -> named_struct('name', r.right_id))"
     missing = "transform(filter(rights.gdpr, r -> NOT r.covered), r -> named_struct('name', r.right_id))"
-    parties = "transform(wording.named_third_parties, n -> named_struct('name', n))"
     lines = (
         "concat('PRIVACY ANALYSIS FOR ', domain)",
         "concat('Overall Score: ', overall, '/100 (Grade: ', grade, ', Risk Level: ', risk_level, ')')", "''",
@@ -69,7 +68,7 @@ def chat(scored: DataFrame) -> DataFrame:
         f"concat('Browser Fingerprinting: ', {_flag(t + '.fingerprinting_detected', 'DETECTED', 'Not detected')})",
         f"concat('Session Recording: ', {_flag(t + '.session_recording_detected', 'ACTIVE', 'Not detected')})",
         f"concat('Cookies Seen: ', {_names(t + '.cookies', 5, 'None detected')})", "''", "'THIRD PARTIES:'",
-        f"concat('Named Partners: ', {_names(parties, 10, 'None named')})", "''", "'PRIVACY CONCERNS:'",
+        f"concat('Named Partners: ', {_names('sharing.parties', 10, 'None named')})", "''", "'PRIVACY CONCERNS:'",
         f"concat('Dark Patterns: ', {_names('dark_patterns.detected', 5, 'None detected')})", "''", "'USER RIGHTS:'",
         f"concat('GDPR Rights Covered: ', {_names(covered, 99, 'None covered')})",
         f"concat('GDPR Rights Missing: ', {_names(missing, 99, 'All covered')})")
@@ -95,7 +94,7 @@ def red_flags(parsed: DataFrame) -> DataFrame:
 
 
 def label_json(scored: DataFrame) -> DataFrame:
-    """One JSON document per site; parts that are missing become empty."""
+    """One JSON document per site; every part is named, one that is missing is null."""
     body = F.struct(
         "domain", "policy_found", F.col("overall").alias("overall_score"), "grade", "risk_level", "summary",
         F.struct(*[F.col(f"{d}_score").alias(d) for d in ("data_collection", "sharing", "transparency", "rights",
@@ -104,4 +103,4 @@ def label_json(scored: DataFrame) -> DataFrame:
         *[F.when(F.col("state") == "full", F.col(c)).alias(c) for c in ("data_types", "retention", "wording",
                                                                         "dark_patterns", "rights", "sharing")],
         F.col("tracking").alias("trackers"))
-    return scored.select("doc_id", F.to_json(body).alias("result_json"))
+    return scored.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("result_json"))

@@ -44,14 +44,15 @@ def dossiers(parties: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFram
     """
     rank = F.expr(T.lookup({k: i for i, k in enumerate(R.PAGE_LABELS)}, "label"))
     wanted = pages.where(F.col("label").isin(*R.PAGE_LABELS[:R.PAGES_PER_PARTY]))
-    read = wanted.join(texts, "url", "left").groupBy("site_id", "pos").agg(
+    starts = texts.select("url", F.substring("text", 1, R.DOSSIER_CHARS).alias("text"))
+    read = wanted.join(starts, "url", "left").groupBy("site_id", "pos").agg(
         F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "label", "url", "text"))).alias("ps"))
     extra = pages.where(F.col("label").isin("certifications", "opt_out")).groupBy("site_id", "pos").agg(
         F.max(F.when(F.col("label") == "certifications", F.col("url"))).alias("certifications"),
         F.max(F.when(F.col("label") == "opt_out", F.col("url"))).alias("listed_opt_out"))
     out = parties.join(read, ["site_id", "pos"], "left").join(extra, ["site_id", "pos"], "left")
     context = (f"array_join(transform(filter(ps, p -> p.text <> ''), p -> concat('=== ', upper(p.label), ' PAGE (', "
-               f"p.url, ') ===\\n', substring(p.text, 1, {R.DOSSIER_CHARS}))), '\\n\\n')")
+               f"p.url, ') ===\\n', p.text)), '\\n\\n')")
     n = F.expr("coalesce(size(filter(ps, p -> p.text <> '')), 0)")
     return out.select(
         "site_id", "pos", "name", "category", F.expr("coalesce(size(ps), 0)").alias("pages_found"),

@@ -121,13 +121,15 @@ def _summary(text: str, low: str, rows) -> str:
         return T.struct(named=f"size({ps})", unnamed=f"greatest(0, {unnamed} - size({ps}))",
                         advertising=about("advertising", ps), analytics=about("analytics", ps),
                         brokers=f"size(filter({ps}, p -> p.broker))", sold=T.matches(low, R.SALE),
-                        abroad=T.any_match(low, R.TRANSFERS), safeguards=safeguards,
+                        abroad=T.any_match(low, R.TRANSFERS), safeguards=safeguards, parties=(
+                            f"array_sort(transform({ps}, p -> named_struct('trust_score', p.trust, 'name', p.name, 'category', p.category, "
+                            f"'purposes', p.purposes, 'is_data_broker', p.broker)))"),
                         purposes="map(" + ", ".join(f"{T.quote(n)}, {T.any_match(low, p)}"
                                                     for n, p in R.PURPOSES.items()) + ")")
 
     def finish(c: str) -> str:
         return T.struct(
-            count=f"{c}.named + {c}.unnamed", named_count=f"{c}.named", unnamed_count=f"{c}.unnamed",
+            parties=f"{c}.parties", count=f"{c}.named + {c}.unnamed", named_count=f"{c}.named", unnamed_count=f"{c}.unnamed",
             sharing_purposes=f"{c}.purposes", data_sold=f"{c}.sold", cross_border_transfers=f"{c}.abroad",
             transfer_safeguards=f"{c}.safeguards", advertising_partners=f"{c}.advertising",
             analytics_partners=f"{c}.analytics", data_brokers=f"{c}.brokers",

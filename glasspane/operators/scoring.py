@@ -105,7 +105,7 @@ def _entry(test: str, dimension: str, reason: str, points) -> str:
 
 
 def penalties(t: str) -> str:
-    """Reasons against a site, in order of the dimensions."""
+    """All reasons against a site, in order of the dimensions."""
     q, s = T.quote, "sharing"
     none = "cast(array() as array<struct<dimension:string,reason:string,points:int>>)"
     special = "transform(filter(data_types, c -> c.sensitivity = 'critical'), c -> " + T.struct(
@@ -158,7 +158,7 @@ def penalties(t: str) -> str:
                q("Session recording active (captures all user interactions)"), 15),
         cookie("secure_pct", "Secure flag", 50, 10), cookie("httponly_pct", "HttpOnly flag", 50, 8),
         cookie("samesite_pct", "SameSite attribute", 30, 5))
-    full = f"slice(concat({special}, {before}, {dark}, {after}), 1, {R.MAX_PENALTIES})"
+    full = f"concat({special}, {before}, {dark}, {after})"
     missing = list_of(_entry("true", "general", q("No privacy policy found"), 95))
     unread = list_of(
         _entry(f"coalesce({t}.total_tracker_count, 0) BETWEEN 4 AND 8", "technical",
@@ -206,7 +206,7 @@ def bonuses(t: str) -> str:
         _entry("true", "general", q("Privacy policy page exists and is accessible"), 10),
         _entry(f"{t}.total_tracker_count = 0", "technical", q("No trackers detected"), 10))) + "))"
     return (f"CASE state WHEN 'no_policy' THEN {none} WHEN 'unreadable' THEN {unread} "
-            f"ELSE slice({full}, 1, {R.MAX_BONUSES}) END")
+            f"ELSE {full} END")
 
 
 def summary(score_grade: str) -> str:

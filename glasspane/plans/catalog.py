@@ -24,7 +24,7 @@ from ..rules import trust as trust_rules
 from ..rules import wording as word_rules
 from ..sources import dims, tables
 from ..streaming import feeds
-from .duck import absolute, any_of, attribute, count_of, gone, host, lines, likely, norm, q, snippet, sql, url_signal
+from .duck import absolute, any_of, attribute, case_of, count_of, gone, host, lines, likely, norm, q, snippet, sql, url_signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -139,15 +139,24 @@ def _(spark, path):
     return _rule_totals(spark, path, ("gdpr_right", "ccpa_right", "dark_pattern", "retention_event"))
 
 
-@query("s6_label_document", """SELECT doc_id, domain, policy_found, overall AS overall_score, grade, data_collection_score AS data_collection,
-    technical_score AS technical, state = 'full' AS has_analysis, tracked AS has_trackers FROM §scored""")
+@query("s6_label_document", """SELECT s.doc_id, domain, policy_found, overall AS overall_score, grade, risk_level, data_collection_score AS data_collection,
+    sharing_score AS sharing, transparency_dim AS transparency, rights_score AS rights_points, retention_score AS retention_points, dark_patterns_score AS dark_patterns,
+    technical_score AS technical, state = 'full' AS has_analysis, tracked AS has_trackers, CASE WHEN state = 'full' THEN coalesce(p.names, '') END AS parties,
+    coalesce(l.reasons, '') AS penalties, coalesce(g.reasons, '') AS bonuses FROM §scored s LEFT JOIN (SELECT doc_id, string_agg(name || ' ' || trust_score, '|'
+    ORDER BY trust_score, name) AS names FROM §party GROUP BY doc_id) p USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(reason, '|' ORDER BY pos) AS reasons
+    FROM §lose GROUP BY doc_id) l USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(reason, '|' ORDER BY pos) AS reasons FROM §gain GROUP BY doc_id) g USING (doc_id)""")
 def _(spark, path):
-    body = ("domain string, policy_found boolean, overall_score int, grade string, score_breakdown struct<data_collection:int,"
-            "technical:int>, rights struct<gdpr_score:int>, trackers struct<total_tracker_count:int>")
+    entries = "array<struct<reason:string>>"
+    body = ("domain string, policy_found boolean, overall_score int, grade string, risk_level string, score_breakdown struct<data_collection:int,sharing:int,"
+            "transparency:int,rights:int,retention:int,dark_patterns:int,technical:int>, rights struct<gdpr_score:int>, trackers struct<total_tracker_count:int>, "
+            f"sharing struct<parties:array<struct<name:string,trust_score:int>>>, penalties {entries}, bonuses {entries}")
     docs = context.label_json(_scored(spark, path)).withColumn("j", F.from_json("result_json", body))
-    return docs.select("doc_id", "j.domain", "j.policy_found", "j.overall_score", "j.grade", "j.score_breakdown.data_collection",
-                       "j.score_breakdown.technical", F.col("j.rights").isNotNull().alias("has_analysis"),
-                       F.col("j.trackers").isNotNull().alias("has_trackers"))
+    b = "j.score_breakdown."
+    return docs.select("doc_id", "j.domain", "j.policy_found", "j.overall_score", "j.grade", "j.risk_level", b + "data_collection", b + "sharing", b + "transparency",
+                       F.col(b + "rights").alias("rights_points"), F.col(b + "retention").alias("retention_points"), b + "dark_patterns", b + "technical",
+                       F.col("j.rights").isNotNull().alias("has_analysis"), F.col("j.trackers").isNotNull().alias("has_trackers"),
+                       F.expr("array_join(transform(j.sharing.parties, p -> concat(p.name, ' ', p.trust_score)), '|')").alias("parties"),
+                       *[F.array_join(F.col(f"j.{k}.reason"), "|").alias(k) for k in ("penalties", "bonuses")])
 
 
 @query("s7_policy_text", "SELECT version_id, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS word_count FROM §ver")
@@ -776,33 +785,25 @@ def _(spark, path):
     return _scored(spark, path).where("state = 'unreadable'").select("doc_id", "overall", "grade", "technical_score")
 
 
-_LEDGER = ("CASE state WHEN 'no_policy' THEN 1 WHEN 'unreadable' THEN 1 + CAST(coalesce(total_tracker_count, 0) > 3 AS INTEGER) ELSE least(20, "
-           "coalesce(sp, 0) + CAST(n_shared > 5 AS INTEGER) + CAST(data_sold AS INTEGER) * 2 + CAST(n_recipients > 5 AS INTEGER) + "
-           "CAST(advertising_partners > 3 AS INTEGER) + CAST(abroad AND safeguards = '' AS INTEGER) + CAST(unnamed_count > 10 AS INTEGER) + "
-           "CAST(NOT dpo_named AS INTEGER) + CAST(NOT legitimate_basis AS INTEGER) + CAST(has_indefinite_retention AS INTEGER) + "
-           "CAST(NOT has_specific_periods AND NOT has_event_based_deletion AS INTEGER) + n_dark + CAST(coalesce(total_tracker_count, 0) > 20 AS INTEGER) + "
-           "CAST(coalesce(fingerprinting_detected, FALSE) AS INTEGER) + CAST(coalesce(session_recording_detected, FALSE) AS INTEGER) + "
-           "CAST(coalesce(n_cookies > 0 AND secure_pct < 50, FALSE) AS INTEGER) + CAST(coalesce(n_cookies > 0 AND httponly_pct < 50, FALSE) AS INTEGER) + "
-           "CAST(coalesce(n_cookies > 0 AND samesite_pct < 30, FALSE) AS INTEGER)) END")
-_GAINS = ("CASE state WHEN 'no_policy' THEN 0 WHEN 'unreadable' THEN 1 + CAST(coalesce(total_tracker_count = 0, FALSE) AS INTEGER) ELSE least(10, "
-          "CAST(n_recipients = 0 AS INTEGER) + CAST(safeguards <> '' AS INTEGER) + CAST(dpo_named AS INTEGER) + CAST(legitimate_basis AS INTEGER) + "
-          "CAST(privacy_by_design AS INTEGER) + CAST(named > 5 AS INTEGER) + CAST(dnt_honored OR dnt_mentioned AS INTEGER) + CAST(gpc AS INTEGER) + "
-          "CAST(frameworks <> '' AS INTEGER) + CAST(has_event_based_deletion AS INTEGER) + CAST(deletion_on_request AS INTEGER) + "
-          "CAST(storage_limitation_mentioned AS INTEGER) + CAST(consent_mechanism_quality IN ('good', 'adequate') AS INTEGER) + "
-          "CAST(cmp_detected IS NOT NULL AS INTEGER) + CAST(coalesce(total_tracker_count = 0, FALSE) AS INTEGER)) END")
+_ENTRY = "doc_id, CAST(pos AS INTEGER) AS pos, dimension, reason, points"
 
 
-@query("a20_ledger", f"""SELECT doc_id, CAST({_LEDGER} AS INTEGER) AS penalties, CAST({_GAINS} AS INTEGER) AS bonuses FROM §scored LEFT JOIN (SELECT doc_id,
-    count(*) AS sp FROM §dt WHERE sensitivity = 'critical' GROUP BY doc_id) USING (doc_id)""")
+@query("a20_ledger", """SELECT doc_id, CAST(coalesce(l.n, 0) AS INTEGER) AS penalties, CAST(coalesce(g.n, 0) AS INTEGER) AS bonuses FROM §scored LEFT JOIN (
+    SELECT doc_id, count(*) AS n FROM §lose GROUP BY doc_id) l USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM §gain GROUP BY doc_id) g USING (doc_id)""")
 def _(spark, path):
     return _scored(spark, path).select("doc_id", F.size("penalties").alias("penalties"), F.size("bonuses").alias("bonuses"))
 
 
-@query("a20_ledger_entries")
+@query("a20_ledger_entries", f"SELECT {_ENTRY} FROM §lose")
 def _(spark, path):
     return _scored(spark, path).select("doc_id", F.posexplode("penalties").alias("pos", "p")).select("doc_id", "pos", "p.*")
 
 
+@query("a20_bonus_entries", f"SELECT {_ENTRY} FROM §gain")
+def _(spark, path):
+    return _scored(spark, path).select("doc_id", F.posexplode("bonuses").alias("pos", "p")).select("doc_id", "pos", "p.*")
+
+
 @query("a29_alerts", """SELECT doc_id, ord, alert FROM (SELECT doc_id, 0 AS ord, n_dark || ' dark pattern(s) detected in privacy policy' AS alert FROM §scored
     WHERE state = 'full' AND n_dark > 0 UNION ALL SELECT doc_id, 1, 'Browser fingerprinting detected – tracks you without cookies' FROM §scored
     WHERE fingerprinting_detected UNION ALL SELECT doc_id, 2, 'Session recording active – captures all mouse/keyboard activity' FROM §scored
@@ -932,28 +933,32 @@ def _(spark, path):
     return parties.with_pages(_queue(spark, path), dims.company_page_table(spark), _company_pages(spark, path))
 
 
+_REGISTERED = sorted({url for _, label, url in dims.company_page_rows() if label in trust_rules.PAGE_LABELS})
+
+
 def _dossiers(spark, path):
     queue = _queue(spark, path)
     found = parties.with_pages(queue, dims.company_page_table(spark), _company_pages(spark, path))
-    # Stored texts of documentation pages: the given documents, by the position of the page in the registry.
+    # Stored texts of documentation pages: every document is a fetch of one page of the registry, the newest one counts.
     docs = tables.read(spark, path, "documents").select("doc_id", "text")
-    urls = dims.company_page_table(spark).where(F.col("label").isin(*trust_rules.PAGE_LABELS)).groupBy("url").agg(
-        (F.min(F.length("url")) % 50).alias("doc_id"))
-    return parties.dossiers(queue, found, urls.join(docs, "doc_id").select("url", "text"))
+    newest = docs.select("doc_id", tables.pick(_REGISTERED, F.col("doc_id")).alias("url")).groupBy("url").agg(F.max("doc_id").alias("doc_id"))
+    return parties.dossiers(queue, found, newest.join(docs, "doc_id").select("url", "text"))
 
 
-_DOSS = f"""SELECT u.site_id, u.pos, u.name, u.category, coalesce(p.n, 0) AS pages_found, coalesce(p.r, 0) AS pages_read, coalesce(p.chars, 0) AS text_chars,
+_DOSS = f"""SELECT u.site_id, u.pos, u.name, u.category, coalesce(p.n, 0) AS pages_found, coalesce(p.r, 0) AS pages_read, coalesce(p.chars, 0) AS text_chars, coalesce(p.context, '') AS context,
     coalesce(e.cert, '') AS certifications, coalesce(e.opt, u.opt_out) AS opt_out_url, CASE WHEN coalesce(p.r, 0) = 0 THEN 30 ELSE 40 END AS trust_score_ai
     FROM (SELECT * FROM ({_QUEUE}) WHERE pos <= 12) u LEFT JOIN (SELECT site_id, pos, count(*) AS n, count(t.text) FILTER (WHERE t.text <> '') AS r,
-    CAST(sum(length(t.text[1:2000])) AS BIGINT) AS chars FROM ({_PAGES}) g LEFT JOIN (SELECT url, text FROM (SELECT DISTINCT url FROM (VALUES {_REG}) AS
-    g(company_lc, label, url) WHERE label NOT IN ('opt_out', 'certifications')) JOIN documents ON doc_id = length(url) % 50) t USING (url)
-    WHERE label IN ('privacy', 'security', 'dpa') GROUP BY ALL) p USING (site_id, pos) LEFT JOIN (SELECT site_id, pos, max(CASE WHEN label =
+    CAST(sum(length(t.text[1:2000])) AS BIGINT) AS chars, string_agg('=== ' || upper(label) || ' PAGE (' || url || ') ===' || chr(10) || t.text[1:2000],
+    chr(10) || chr(10) ORDER BY {case_of('label', {k: i for i, k in enumerate(trust_rules.PAGE_LABELS)})}, url) FILTER (WHERE t.text <> '') AS context FROM ({_PAGES}) g LEFT JOIN (SELECT ({q(_REGISTERED)})[CAST(doc_id %
+    {len(_REGISTERED)} AS INTEGER) + 1] AS url, arg_max(text, doc_id) AS text FROM documents GROUP BY 1) t USING (url) WHERE label IN ('privacy', 'security', 'dpa') GROUP BY ALL) p USING (site_id, pos) LEFT JOIN (SELECT site_id, pos, max(CASE WHEN label =
     'certifications' THEN url END) AS cert, max(CASE WHEN label = 'opt_out' THEN url END) AS opt FROM ({_PAGES}) GROUP BY ALL) e USING (site_id, pos)"""
 
 
-@query("l4_dossiers", f"SELECT site_id, pos, name, category, pages_found, pages_read, certifications, opt_out_url, trust_score_ai FROM ({_DOSS})")
+@query("l4_dossiers", f"""SELECT site_id, pos, name, category, pages_found, pages_read, context, certifications, opt_out_url, CASE WHEN pages_read = 0 THEN
+    'No pages could be fetched for ' || name || '.' END AS summary, CASE WHEN pages_read = 0 THEN 'No documentation accessible' END AS risk_flag, trust_score_ai,
+    'Unknown' AS gdpr_role FROM ({_DOSS})""")
 def _(spark, path):
-    return _dossiers(spark, path).drop("context", "summary", "risk_flag", "gdpr_role")
+    return _dossiers(spark, path)
 
 
 @query("a27_ecosystem", f"""SELECT site_id, count(*) AS parties, CAST(round(avg(trust_score_ai)) AS INTEGER) AS mean_trust, count(*) FILTER (WHERE
@@ -982,16 +987,18 @@ _CTX = f"""'Domain: ' || s.domain || chr(10) || 'Privacy Score: ' || overall ||
     'Not detected' END || chr(10) || 'Session Recording: ' || CASE WHEN session_recording_detected THEN 'ACTIVE' ELSE 'Not detected' END || chr(10) ||
     'Dark Patterns: ' || coalesce(array_to_string(k.names[1:5], ', '), 'None detected') || chr(10) || 'GDPR Rights Coverage: ' || gdpr_score ||
     '% | CCPA Coverage: ' || ccpa_score || '%' || chr(10) || 'Retention Policy: ' || overall_rating || ' | Vagueness Score: ' || vagueness_score ||
-    '/100 | Transparency: ' || transparency_score || '/100'"""
+    '/100 | Transparency: ' || transparency_score || '/100' || chr(10) || 'Score Penalties: ' || coalesce(array_to_string(l.reasons[1:5], '; '), 'None') ||
+    chr(10) || 'Score Bonuses: ' || coalesce(array_to_string(g.reasons[1:3], '; '), 'None')"""
 _CTX_FROM = """FROM §scored s LEFT JOIN (SELECT doc_id, list(name ORDER BY CASE sensitivity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3
     END, ord) AS names FROM §dt GROUP BY doc_id) t USING (doc_id) LEFT JOIN (SELECT page_id, list(name ORDER BY ord) AS names FROM §uniq GROUP BY page_id) u
-    ON u.page_id = s.doc_id LEFT JOIN (SELECT doc_id, list(name ORDER BY ord) AS names FROM §dark GROUP BY doc_id) k USING (doc_id)"""
+    ON u.page_id = s.doc_id LEFT JOIN (SELECT doc_id, list(name ORDER BY ord) AS names FROM §dark GROUP BY doc_id) k USING (doc_id)
+    LEFT JOIN (SELECT doc_id, list(reason ORDER BY pos) AS reasons FROM §lose GROUP BY doc_id) l USING (doc_id)
+    LEFT JOIN (SELECT doc_id, list(reason ORDER BY pos) AS reasons FROM §gain GROUP BY doc_id) g USING (doc_id)"""
 
 
 @query("l1_summary_context", f"SELECT doc_id, {_CTX} AS context {_CTX_FROM}")
 def _(spark, path):
-    made = context.summary(_scored(spark, path))
-    return made.select("doc_id", F.expr("array_join(slice(split(context, '\\n'), 1, 10), '\\n')").alias("context"))
+    return context.summary(_scored(spark, path)).select("doc_id", "context")
 
 
 @query("l1_excerpt", "SELECT doc_id, CASE WHEN text = '' THEN 'No policy text available' ELSE text[1:3500] END AS excerpt FROM §docs")
@@ -999,12 +1006,25 @@ def _(spark, path):
     return _docs(spark, path).select("doc_id", F.expr(context.excerpt("text")).alias("excerpt"))
 
 
-@query("l2_chat_context", """SELECT doc_id, coalesce(string_agg(right_id, ', ' ORDER BY ord) FILTER (WHERE covered), 'None covered') AS covered,
-    coalesce(string_agg(right_id, ', ' ORDER BY ord) FILTER (WHERE NOT covered), 'All covered') AS missing FROM §rgt WHERE framework = 'gdpr' GROUP BY doc_id""")
+_CHAT = """'PRIVACY ANALYSIS FOR ' || s.domain || chr(10) || 'Overall Score: ' || overall || '/100 (Grade: ' || grade || ', Risk Level: ' || risk_level || ')' ||
+    chr(10) || chr(10) || 'DATA COLLECTION:' || chr(10) || 'Types Collected: ' || coalesce(array_to_string(t.names[1:15], ', '), 'Unknown') || chr(10) ||
+    'Data Sold to Third Parties: ' || CASE WHEN data_sold THEN 'YES' ELSE 'No/Not stated' END || chr(10) || chr(10) || 'TRACKING:' || chr(10) ||
+    'Active Trackers: ' || coalesce(array_to_string(u.names[1:10], ', '), 'None detected') || chr(10) || 'Browser Fingerprinting: ' ||
+    CASE WHEN fingerprinting_detected THEN 'DETECTED' ELSE 'Not detected' END || chr(10) || 'Session Recording: ' || CASE WHEN session_recording_detected
+    THEN 'ACTIVE' ELSE 'Not detected' END || chr(10) || 'Cookies Seen: ' || coalesce(nullif(array_to_string(c.names[1:5], ', '), ''), 'None detected') || chr(10) ||
+    chr(10) || 'THIRD PARTIES:' || chr(10) || 'Named Partners: ' || coalesce(array_to_string(r.names[1:10], ', '), 'None named') || chr(10) || chr(10) ||
+    'PRIVACY CONCERNS:' || chr(10) || 'Dark Patterns: ' || coalesce(array_to_string(k.names[1:5], ', '), 'None detected') || chr(10) || chr(10) ||
+    'USER RIGHTS:' || chr(10) || 'GDPR Rights Covered: ' || coalesce(y.covered, 'None covered') || chr(10) || 'GDPR Rights Missing: ' ||
+    coalesce(y.missing, 'All covered')"""
+_CHAT_FROM = """LEFT JOIN (SELECT page_id, list(name ORDER BY ord) AS names FROM §ck GROUP BY page_id) c ON c.page_id = s.doc_id
+    LEFT JOIN (SELECT doc_id, list(name ORDER BY trust_score, name) AS names FROM §party GROUP BY doc_id) r USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(right_id, ', ' ORDER BY ord) FILTER (WHERE covered) AS covered, string_agg(right_id, ', ' ORDER BY ord)
+    FILTER (WHERE NOT covered) AS missing FROM §rgt WHERE framework = 'gdpr' GROUP BY doc_id) y USING (doc_id)"""
+
+
+@query("l2_chat_context", f"SELECT doc_id, {_CHAT} AS context {_CTX_FROM} {_CHAT_FROM}")
 def _(spark, path):
-    made = context.chat(_scored(spark, path)).select("doc_id", "context")
-    return made.select("doc_id", F.regexp_extract("context", "GDPR Rights Covered: ([^\n]*)", 1).alias("covered"),
-                       F.regexp_extract("context", "GDPR Rights Missing: ([^\n]*)", 1).alias("missing"))
+    return context.chat(_scored(spark, path)).select("doc_id", "context")
 
 
 @query("l3_answers", """SELECT conv_id, turn, k < 2 AS ai_available, CASE k WHEN 0 THEN 'src sells data' WHEN 1 THEN 'all fine' END AS tldr, CASE k WHEN 0 THEN

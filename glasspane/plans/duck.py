@@ -515,6 +515,76 @@ CTES["embed"] = f"""SELECT p.page_id, {_LINES("[coalesce(j.text, ''), coalesce(n
     LEFT JOIN §jstr j USING (page_id) LEFT JOIN §jnos n USING (page_id)"""
 
 
+def _ledger(rows, state: str = "full") -> str:
+    """doc_id, seq, dimension, reason, points of the rows (test, dimension, reason, points) that hold; reason and points are SQL."""
+    return " UNION ALL ".join(f"SELECT doc_id, {1000 + i} AS seq, {q(d)} AS dimension, {r} AS reason, CAST({p} AS INTEGER) AS points FROM §scored "
+                              f"WHERE state = {q(state)} AND ({t})" for i, (t, d, r, p) in enumerate(rows))
+
+
+_MANY = "CASE WHEN n_recipients <= 5 THEN n_recipients * 3 WHEN n_recipients <= 15 THEN 15 + (n_recipients - 5) * 4 ELSE 55 + (n_recipients - 15) * 2 END"
+_N = "coalesce(total_tracker_count, 0)"
+_PCT = lambda c, name: f"'Only ' || CAST(round_even({c}, 0) AS INTEGER) || '% of cookies have {name}'"
+_FIRST = lambda c, n: f"array_to_string(string_split({c}, '|')[1:{n}], ', ')"
+_AGAINST = (
+    ("n_shared > 5", "data_collection", "n_shared || ' data types shared with third parties'", "(n_shared - 5) * 3"),
+    ("data_sold", "data_collection", q("Personal data is sold to third parties"), 20),
+    ("n_recipients > 5 AND n_recipients <= 15", "sharing", "n_recipients || ' third-party data recipients'", _MANY),
+    ("n_recipients > 15", "sharing", "'Excessive third-party sharing (' || n_recipients || ' parties)'", _MANY),
+    ("advertising_partners > 3", "sharing", "advertising_partners || ' advertising partners'", "advertising_partners * 4"),
+    ("data_sold", "sharing", q("Data sold to third parties (CCPA opt-out required)"), 25),
+    ("abroad AND safeguards = ''", "sharing", q("International data transfers without documented safeguards"), 15),
+    ("unnamed_count > 10", "sharing", "'≥' || unnamed_count || ' unnamed third parties referenced'", 10),
+    ("NOT dpo_named", "transparency", q("No DPO identified (recommended under GDPR Art. 37)"), 5),
+    ("NOT legitimate_basis", "transparency", q("Lawful basis for processing not clearly stated (GDPR Art. 6)"), 8),
+    ("has_indefinite_retention", "retention", q("Data retained indefinitely"), 30),
+    ("NOT has_specific_periods AND NOT has_event_based_deletion", "retention", q("No specific retention periods stated (violates GDPR Art. 5(1)(e))"), 20),
+)
+_AGAINST_TECHNICAL = (
+    (f"{_N} > 20", "technical", "total_tracker_count || ' trackers detected on website'", 30),
+    ("coalesce(fingerprinting_detected, FALSE)", "technical", q("Browser fingerprinting detected (high risk, often unconsented)"), 25),
+    ("coalesce(session_recording_detected, FALSE)", "technical", q("Session recording active (captures all user interactions)"), 15),
+    ("coalesce(n_cookies, 0) > 0 AND secure_pct < 50", "technical", _PCT("secure_pct", "Secure flag"), 10),
+    ("coalesce(n_cookies, 0) > 0 AND httponly_pct < 50", "technical", _PCT("httponly_pct", "HttpOnly flag"), 8),
+    ("coalesce(n_cookies, 0) > 0 AND samesite_pct < 30", "technical", _PCT("samesite_pct", "SameSite attribute"), 5),
+)
+_UNREAD = (
+    (f"{_N} BETWEEN 4 AND 8", "technical", "total_tracker_count || ' trackers detected'", 15),
+    (f"{_N} > 8", "technical", "total_tracker_count || ' trackers detected'", 30),
+    ("TRUE", "transparency", q("Policy page is JavaScript-rendered — full text analysis unavailable"), 20),
+)
+_FOR = (
+    ("n_recipients = 0", "sharing", q("No third-party sharing detected"), 5),
+    ("safeguards <> ''", "sharing", f"'Transfer safeguards documented: ' || {_FIRST('safeguards', 2)}", 5),
+    ("dpo_named", "transparency", q("Data Protection Officer (DPO) named"), 5),
+    ("legitimate_basis", "transparency", q("Lawful basis for processing explicitly stated"), 5),
+    ("privacy_by_design", "transparency", q("Privacy by Design/Default principles mentioned"), 5),
+    ("named > 5", "transparency", "named || ' third parties specifically named'", 5),
+    ("dnt_honored", "rights", q("Do Not Track (DNT) / GPC honored"), 5),
+    ("dnt_mentioned AND NOT dnt_honored", "rights", q("DNT mentioned"), 2),
+    ("gpc", "rights", q("Global Privacy Control (GPC) supported"), 5),
+    ("frameworks <> ''", "rights", f"'Frameworks referenced: ' || {_FIRST('frameworks', 3)}", 3),
+    ("has_event_based_deletion", "retention", q("Event-based deletion policy (e.g., upon account closure)"), 10),
+    ("deletion_on_request", "retention", q("Data deletion on user request confirmed"), 10),
+    ("storage_limitation_mentioned", "retention", q("Storage limitation principle explicitly acknowledged"), 5),
+    ("consent_mechanism_quality = 'good'", "dark_patterns", q("Good consent mechanism: explicit, granular, withdrawable"), 10),
+    ("consent_mechanism_quality = 'adequate'", "dark_patterns", q("Adequate consent mechanism"), 5),
+    ("cmp_detected IS NOT NULL", "technical", "'Consent Management Platform detected: ' || cmp_detected", 8),
+    ("total_tracker_count = 0", "technical", q("No trackers detected on website"), 15),
+)
+_UNREAD_FOR = (("TRUE", "general", q("Privacy policy page exists and is accessible"), 10),
+               ("total_tracker_count = 0", "technical", q("No trackers detected"), 10))
+CTES["lose"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, seq) - 1 AS pos, dimension, reason, points FROM (
+    SELECT doc_id, 0 AS part, ord AS seq, 'data_collection' AS dimension, CASE WHEN gdpr_special_category THEN 'GDPR special category data: ' ELSE
+    'Highly sensitive data: ' END || name AS reason, CASE WHEN gdpr_special_category THEN 10 ELSE 8 END AS points FROM §dt JOIN §scored USING (doc_id)
+    WHERE sensitivity = 'critical' AND state = 'full' UNION ALL SELECT doc_id, 1, * EXCLUDE (doc_id) FROM ({_ledger(_AGAINST)}) UNION ALL
+    SELECT doc_id, 2, ord, 'dark_patterns', 'Dark pattern: ' || name || ' (' || gdpr_reference || ')', {case_of('severity', scoring.DARK_PENALTY, 5)}
+    FROM §dark JOIN §scored USING (doc_id) WHERE state = 'full' UNION ALL SELECT doc_id, 3, * EXCLUDE (doc_id) FROM ({_ledger(_AGAINST_TECHNICAL)}) UNION ALL
+    SELECT doc_id, 4, * EXCLUDE (doc_id) FROM ({_ledger(_UNREAD, 'unreadable')}) UNION ALL
+    SELECT doc_id, 5, 0, 'general', 'No privacy policy found', 95 FROM §scored WHERE state = 'no_policy')"""
+CTES["gain"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS pos, dimension, reason, points FROM (
+    {_ledger(_FOR)} UNION ALL {_ledger(_UNREAD_FOR, 'unreadable')})"""
+
+
 _BLOCK = re.compile(r"§([a-z][a-z_0-9]*)")
 
 

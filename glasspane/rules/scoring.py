@@ -16,8 +16,6 @@ UNREADABLE_DIMS = {"data_collection": 50, "sharing": 50, "transparency": 25, "ri
 UNREADABLE_TECHNICAL = ((0, 90), (3, 70), (8, 45))
 UNREADABLE_MANY = 20
 UNREADABLE_NO_DATA = 50
-MAX_PENALTIES = 20
-MAX_BONUSES = 10
 
 # Sentence per grade.
 SUMMARIES = {

@@ -100,7 +100,7 @@ def test_ledger_explains_without_changing(policies, homepages):
     s = one(_facts(policies("We sell your personal data. By using our site you agree. Genetic data. " * 3), homepages().limit(0)))
     reasons = [p.reason for p in s.penalties]
     assert "GDPR special category data: Genetic Data" in reasons and "Personal data is sold to third parties" in reasons
-    assert len(reasons) <= 20 and all(0 <= s[f"{d}_score"] <= 100 for d in ("data_collection", "sharing", "technical"))
+    assert all(0 <= s[f"{d}_score"] <= 100 for d in ("data_collection", "sharing", "technical"))
 
 
 def _fetches(spark, *texts):
