@@ -99,9 +99,10 @@ def compare(results: DataFrame) -> DataFrame:
     out = two.groupBy("domain").agg(
         F.max(F.when(F.col("nth") == 1, F.col("overall_score"))).alias("newer_score"),
         F.max(F.when(F.col("nth") == 2, F.col("overall_score"))).alias("older_score"),
+        F.max(F.when(F.col("nth") == 1, F.col("grade"))).alias("newer_grade"), F.max(F.when(F.col("nth") == 2, F.col("grade"))).alias("older_grade"),
         F.max(F.when(F.col("nth") == 1, F.col("analyzed_at"))).alias("newer_at"),
         F.max(F.when(F.col("nth") == 2, F.col("analyzed_at"))).alias("older_at"), F.count("*").alias("n"))
-    return out.select("domain", "newer_at", "older_at", "newer_score", "older_score",
+    return out.select("domain", "newer_at", "older_at", "newer_score", "older_score", "newer_grade", "older_grade",
                       (F.col("newer_score") - F.col("older_score")).alias("score_delta"),
                       F.when(F.col("n") < 2, F.lit("Not enough history for comparison")).alias("message"))
 

@@ -60,12 +60,13 @@ def _scored(spark, path):
 
 
 def _results(spark, path):
-    """One result per document: rights score as overall score, an hour apart."""
-    docs = rights.detect(_docs(spark, path)).select("doc_id", "domain", "rights.overall_rights_score")
-    return docs.select(
-        F.col("doc_id").alias("result_id"), "domain",
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("analyzed_at"),
-        F.col("overall_rights_score").alias("overall_score"), F.expr(scoring.grade("overall_rights_score")).alias("grade"))
+    """One result per document, an hour apart: overall score, grade, and the version of the fetch that it judges."""
+    fetched = tables.fetches(spark, path).select("fetch_id", F.col("domain").alias("d"), F.sha2("text", 256).alias("h"))
+    found = _versions(spark, path).select("version_id", F.col("domain").alias("d"), F.col("content_hash").alias("h"))
+    judged = fetched.join(found, ["d", "h"]).select(F.col("fetch_id").alias("doc_id"), F.col("version_id").alias("policy_version_id"))
+    return _scored(spark, path).select("doc_id", "domain", "overall", "grade").join(judged, "doc_id", "left").select(
+        F.col("doc_id").alias("result_id"), "domain", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("analyzed_at"),
+        F.col("overall").alias("overall_score"), "grade", "policy_version_id")
 
 
 def _versions(spark, path):
@@ -849,7 +850,7 @@ def _(spark, path):
     return history.new_versions(late, known).select(F.col("fetch_id").alias("version_id"), "domain", "content_hash")
 
 
-_RES = "result_id, domain, analyzed_at, overall_score, grade"
+_RES = "result_id, domain, analyzed_at, overall_score, grade, policy_version_id"
 
 
 @query("h6_latest_result", f"SELECT {_RES} FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY analyzed_at DESC) AS nth FROM §result) WHERE nth = 1")
@@ -868,9 +869,9 @@ def _(spark, path):
     return history.change_history(history.pairs(_versions(spark, path)))
 
 
-@query("h8_compare", """SELECT domain, newer_at, older_at, newer_score, older_score, newer_score - older_score AS score_delta, CASE WHEN older_at IS NULL THEN
-    'Not enough history for comparison' END AS message FROM (SELECT domain, analyzed_at AS newer_at, overall_score AS newer_score, lead(analyzed_at) OVER w
-    AS older_at, lead(overall_score) OVER w AS older_score, row_number() OVER w AS nth FROM §result WINDOW w AS (PARTITION BY domain ORDER BY analyzed_at DESC))
+@query("h8_compare", """SELECT domain, newer_at, older_at, newer_score, older_score, newer_grade, older_grade, newer_score - older_score AS score_delta, CASE WHEN older_at IS NULL
+    THEN 'Not enough history for comparison' END AS message FROM (SELECT domain, analyzed_at AS newer_at, overall_score AS newer_score, lead(analyzed_at) OVER w
+    AS older_at, lead(overall_score) OVER w AS older_score, grade AS newer_grade, lead(grade) OVER w AS older_grade, row_number() OVER w AS nth FROM §result WINDOW w AS (PARTITION BY domain ORDER BY analyzed_at DESC))
     WHERE nth = 1""")
 def _(spark, path):
     return history.compare(_results(spark, path))
@@ -886,11 +887,12 @@ def _(spark, path):
     return history.trend(_results(spark, path))
 
 
-@query("j4_result_version", """SELECT r.result_id, r.overall_score, v.version_id, v.is_current FROM §result r LEFT JOIN §ver v ON v.version_id = r.result_id""")
+@query("j4_result_version", """SELECT r.result_id, r.overall_score, v.version_id, v.is_current FROM §result r LEFT JOIN §ver v ON v.version_id =
+    r.policy_version_id""")
 def _(spark, path):
     found = _versions(spark, path).select("version_id", "is_current")
-    return _results(spark, path).select("result_id", "overall_score").join(
-        found, F.col("result_id") == F.col("version_id"), "left")
+    return _results(spark, path).select("result_id", "overall_score", "policy_version_id").join(
+        found, F.col("policy_version_id") == F.col("version_id"), "left").drop("policy_version_id")
 
 
 # ---- parties

@@ -410,8 +410,9 @@ CTES = {
     "pair": """SELECT * FROM (SELECT domain, lag(version_id) OVER w AS old_version_id, version_id AS new_version_id, fetched_at AS detected_at,
             lag(text) OVER w AS old_text, text AS new_text FROM §ver WINDOW w AS (PARTITION BY domain ORDER BY fetched_at, version_id))
         WHERE old_version_id IS NOT NULL""",
-    "result": """SELECT doc_id AS result_id, domain, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * doc_id AS analyzed_at,
-            overall_rights_score AS overall_score, """ + case_scale("overall_rights_score", scoring.GRADE_CUTS, "F") + """ AS grade FROM §rgt_doc""",
+    "result": """SELECT s.doc_id AS result_id, s.domain, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * s.doc_id AS analyzed_at, s.overall AS overall_score,
+            s.grade, v.version_id AS policy_version_id FROM §scored s LEFT JOIN §fetch f ON f.fetch_id = s.doc_id LEFT JOIN §ver v ON v.domain = f.domain
+            AND v.content_hash = sha256(f.text)""",
     "req": "SELECT event_id, user_id AS tab_id, ts, CASE event_type WHEN 'view' THEN 'navigate' WHEN 'signup' THEN 'close' ELSE 'request' END AS kind, "
            f"CASE event_id % 3 WHEN 0 THEN 'https://www.' || {pick(trackers.LIVE_HOSTS, 'event_id')} || '/t.js' WHEN 1 THEN 'https://cdn' || "
            f"(event_id % 41) || '.' || {pick(trackers.LIVE_HOSTS, 'event_id')} ELSE 'https://static' || (event_id % 41) || '.site.test/a.png' END AS url "

@@ -15,15 +15,6 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """More partitions for a scan that has fewer than the cluster has slots (one small file, one row group).
-
-    A table of cluster size arrives in many splits and is left alone: its texts are never shuffled.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
-
-
 def pick(items, key: Column) -> Column:
     """Item of a fixed list by a row's number."""
     return F.element_at(F.array(*[F.lit(x) for x in items]), (key % len(items) + 1).cast("int"))
@@ -33,14 +24,13 @@ def policies(spark: SparkSession, path: str) -> DataFrame:
     """One row per policy text: doc_id, domain, lang, policy_found, text, low (the searchable copy)."""
     docs = read(spark, path, "documents").select("doc_id", "text", "lang", F.col("source").alias("domain"))
     text = F.concat_ws("\n", "text", pick(S.CLAUSES, F.col("doc_id")), pick(S.EXTRAS, F.col("doc_id")))
-    return (spread(docs, "doc_id")
-            .select("doc_id", "domain", "lang", (F.col("domain") != "src7").alias("policy_found"), text.alias("text"))
+    return (docs.select("doc_id", "domain", "lang", (F.col("domain") != "src7").alias("policy_found"), text.alias("text"))
             .withColumn("low", T.searchable(F.col("text"))))
 
 
 def homepages(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored page: page_id, url, domain, base, html, cookies (Set-Cookie headers)."""
-    pages = spread(read(spark, path, "pages").select("page_id", "url", "html"), "page_id")
+    pages = read(spark, path, "pages").select("page_id", "url", "html")
     raw = F.split(pick(S.COOKIES, F.col("page_id")), "\n")
     return pages.select(
         "page_id", "url", F.expr(U.site("url")).alias("domain"), F.expr(U.base("url")).alias("base"),
@@ -106,7 +96,7 @@ def as_requests(events: DataFrame) -> DataFrame:
 
 def fetches(spark: SparkSession, path: str) -> DataFrame:
     """Every fetch of a policy text, oldest first within a domain: fetch_id, domain, policy_url, fetched_at, text."""
-    docs = spread(read(spark, path, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = read(spark, path, "documents").select("doc_id", "source", "text")
     nth = F.floor(F.col("doc_id") / 20)
     notice = [F.lit(S.CLAUSES[0]), F.lit(S.CLAUSES[9])]
     text = F.when(nth % 5 == 4, F.concat_ws("\n", *notice)).otherwise(

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators.history import new_versions
 from ..operators.ordered import running_sum
 from ..operators.trackers import badge
 from ..rules import trackers as R
@@ -73,17 +72,16 @@ class TabTrackers(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count = sum(1 for _ in self.seen.keys()) if self.seen.exists() else 0
-        for batch in rows:
-            out = []
-            for r in batch.sort_values(["ts", "event_id"]).itertuples():
-                if r.kind in ("navigate", "close"):
-                    self.seen.clear()
-                    count = 0
-                elif r.tracker and not self.seen.containsKey((r.tracker,)):
-                    count += 1
-                    self.seen.updateValue((r.tracker,), (count,))
-                    out.append((key[0], r.event_id, r.ts, r.tracker, r.risk, count))
-            yield pd.DataFrame(out, columns=["tab_id", "event_id", "ts", "tracker", "risk", "count"])
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            if r.kind in ("navigate", "close"):
+                self.seen.clear()
+                count = 0
+            elif r.tracker and not self.seen.containsKey((r.tracker,)):
+                count += 1
+                self.seen.updateValue((r.tracker,), (count,))
+                out.append((key[0], r.event_id, r.ts, r.tracker, r.risk, count))
+        yield pd.DataFrame(out, columns=["tab_id", "event_id", "ts", "tracker", "risk", "count"])
 
     def close(self) -> None:
         pass
@@ -96,8 +94,8 @@ OUTPUT = "tab_id long, event_id long, ts timestamp, tracker string, risk string,
 def tab_counts(matched: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Streaming form of `badges`. Needs the RocksDB state store (STATE_STORE); idle tabs may expire.
 
-    The events of a tab come from one browser, hence from one partition of the source, and keep their order; they are
-    taken chunk by chunk, so a busy tab never has to fit into memory.
+    The events of a tab in one micro-batch (short rows, as many as a trigger admits) are put in order, whichever file or
+    partition they come from.
     """
     rows = matched.where(F.col("tracker").isNotNull() | F.col("kind").isin("navigate", "close"))
     return (rows.select("tab_id", "event_id", "ts", "kind", "tracker", "risk").groupBy("tab_id")
@@ -109,22 +107,9 @@ def tab_counts(matched: DataFrame, idle_ms: int | None = None) -> DataFrame:
 def version_feed(fetches: DataFrame, path: str, checkpoint: str):
     """Appends every text of a stream that its domain has not had before to a table of versions.
 
-    A micro-batch writes one folder named after it, so a batch that is run again replaces its own rows, and the
-    versions known before it are those of the other folders.
+    The hashes that a domain has had are keyed state, so a batch looks at its own rows only. Of equal texts that arrive together, any one opens
+    the version.
     """
-    schema = "domain string, content_hash string, fetched_at timestamp, fetch_id long, policy_url string, raw_text string"
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = _known(spark, path, schema).where(F.col("batch_id") < number)
-        new_versions(batch, known).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
-
-    return fetches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def _known(spark, path: str, schema: str) -> DataFrame:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    if not there:
-        return spark.createDataFrame([], schema + ", batch_id int")
-    return spark.read.schema(schema + ", batch_id int").option("basePath", path).parquet(path)
+    hashed = fetches.select("domain", F.sha2("text", 256).alias("content_hash"), "fetched_at", "fetch_id", "policy_url", F.col("text").alias("raw_text"))
+    return (hashed.dropDuplicates(["domain", "content_hash"]).writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint))

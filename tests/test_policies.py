@@ -131,7 +131,7 @@ def test_positions_stay(spark):
 
 
 def test_same_domain_twice_in_recent(spark):
-    r = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "b", 30)], "result_id long, domain string, overall_score int").withColumn(
+    r = spark.createDataFrame([(1, "a", 10, "F"), (2, "a", 20, "F"), (3, "b", 30, "D")], "result_id long, domain string, overall_score int, grade string").withColumn(
         "analyzed_at", F.timestamp_seconds(F.col("result_id")))
     assert [x.domain for x in history.recent(r, 3).collect()] == ["b", "a", "a"]
     c = {x.domain: x for x in history.compare(r).collect()}

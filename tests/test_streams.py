@@ -26,17 +26,20 @@ def test_reset_on_navigation(spark):
 
 
 def test_stream_equals_its_batch_twin(spark):
+    """Three micro-batches in order of time, each in several files in no order."""
     source, out = _folder("events"), f"badges_{id(spark)}"
     events = tables.read(spark, SF, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.orderBy("ts").coalesce(1).write.mode("overwrite").parquet(source)
-    stream = feeds.live_match(tables.as_requests(spark.readStream.schema(events.schema).parquet(source)))
-    q = (feeds.tab_counts(stream).writeStream.outputMode("update").format("memory").queryName(out)
-         .option("checkpointLocation", _checkpoint(spark) + f"/{out}").start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    got = {(r.tab_id, r.event_id, r.tracker, r["count"]) for r in spark.table(out).collect()}
+    checkpoint = _checkpoint(spark) + f"/{out}"
+    cuts = [None, *(F.timestamp_seconds(F.lit(x)) for x in events.select(F.col("ts").cast("double")).approxQuantile("ts", [0.3, 0.7], 0.0)), None]
+    got = set()
+    for low, high in zip(cuts, cuts[1:]):
+        part = events.where((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high))
+        part.repartition(5, F.rand(3)).sortWithinPartitions(F.desc("ts")).write.mode("append").parquet(source)
+        stream = feeds.live_match(tables.as_requests(spark.readStream.schema(events.schema).parquet(source)))
+        def keep(batch, _):
+            got.update((r.tab_id, r.event_id, r.tracker, r["count"]) for r in batch.collect())
+        q = feeds.tab_counts(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     twin = feeds.badges(feeds.live_match(tables.as_requests(events)))
     assert got == {(r.tab_id, r.event_id, r.tracker, r["count"]) for r in twin.collect()} and got
 
