@@ -11,21 +11,20 @@ from . import common as C
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node in the links (a, b).
 
-    Each round takes the smallest label of the neighbours and then the label of that label, so chains shorten quickly. Only
-    links and labels move, with partial aggregation; nothing is collected but the number of changed labels. A table without
+    Each round takes the smallest label of a node and its neighbours, and then the label of that label, so chains shorten quickly.
+    Only links and labels move, with partial aggregation; nothing is collected but the number of changed labels. A table without
     links gives no rows.
     """
-    both = C.durable(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"))
-    label = C.durable(label)
+    ends = links.where("a <> b")
+    near = C.durable(ends.select("a", "b").union(ends.select("b", "a")).union(ends.select("a", "a")).union(ends.select("b", "b")).distinct())
+    label = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     while True:
-        told = (both.join(label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node"))
-                .agg(F.min("root").alias("heard")))
-        new = label.join(told, "node").select("node", F.least("root", "heard").alias("via"), F.col("root").alias("was"))
+        told = near.join(label.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(
+            F.min("root").alias("via"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("was"))
         jump = label.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
-        new = C.durable(new.join(jump, "via", "left").select("node", F.least("via", F.coalesce("beyond", "via")).alias("root"), "was"))
-        if new.where("root <> was").isEmpty():
-            return label
+        new = C.durable(told.join(jump, "via").select("node", F.least("via", "beyond").alias("root"), (F.col("was") != F.col("via")).alias("changed")))
+        if not new.agg(F.count_if("changed")).first()[0]:
+            return new.select("node", "root")
         label = new.select("node", "root")
 
 

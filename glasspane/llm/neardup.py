@@ -109,7 +109,9 @@ def _candidates(buckets: DataFrame, turn: int, heads: int, least: float) -> Data
 
     buckets: band, key, size and root, the class of the text so far; only texts of other classes are paired.
     """
-    lead = [F.min(F.struct(F.xxhash64("key", "band", F.lit(turn * 100 + h)).alias("by"), "key", "size", "root")) for h in range(heads)]
+    # At first the same text leads in all its buckets, so that classes become stars; later each bucket draws for itself.
+    by = [F.xxhash64("key", "band", F.lit(turn * 100 + h)) if turn else F.xxhash64("key") for h in range(heads)]
+    lead = [F.min(F.struct(x.alias("by"), "key", "size", "root")) for x in by]
     drawn = C.durable(buckets.groupBy("band").agg(F.array(*lead).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
                       .where("low <> high").select("band", F.explode("heads").alias("head")).distinct())
     paired = buckets.join(drawn, "band").where(
@@ -124,7 +126,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(both >= F.lit(least) * either).select("a", "b")
 
 
-def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 6) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 16) -> tuple[DataFrame, DataFrame]:
     """The rows (id, key) and, for each distinct text, key, class_key, first_id (the smallest id of its rows) and copies."""
     rows = C.durable(_identified(docs).mapInArrow(C.by_block(_sign, _SIGNED), "id long, key binary, size int, bands array<long>"))
     distinct = C.durable(rows.groupBy("key").agg(
@@ -142,7 +144,7 @@ def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 6
         if root is not None:
             apart = buckets.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         new = C.durable(_verified(_candidates(apart, turn, heads if turn else 1, least), sets, least))
-        if new.isEmpty() and turn:
+        if turn and not new.agg(F.count("*")).first()[0]:
             break
         root = components(new) if root is None else merged(root, new)
     texts = distinct.drop("bands", "any_id", "size")
