@@ -102,6 +102,15 @@ def over_text(body, text: str = "text", low: str = "low") -> Column:
     return F.expr(let(struct(text=text, low=low), bound))
 
 
+def distinct_by(items: str, field: str) -> str:
+    """The first item of each value of a field, in order: equal values meet by sorting, so a long array costs little more than a short one."""
+    def firsts(xs: str) -> str:
+        tagged = f"array_sort(transform({xs}, (x, i) -> named_struct('k', x.{field}, 'i', i)))"
+        return let(tagged, lambda s: (f"transform(array_sort(transform(filter({s}, (e, j) -> j = 0 OR NOT (get({s}, j - 1).k <=> e.k)), e -> e.i)), "
+                                      f"i -> get({xs}, i))"))
+    return let(items, firsts)
+
+
 def explode_rows(df: DataFrame, items: str, name: str) -> DataFrame:
     """One row per array item.
 
@@ -255,6 +264,9 @@ def first_of(low: str, patterns) -> str:
     return f"CASE {cases} END"
 
 
+_RUN = 256
+
+
 def all_spans(low: str, pattern: str, limit: int | None = None) -> str:
     """Ranges of all matches (or of the first few), from the pieces between them and the matched texts."""
     none = "cast(array() as array<struct<start:int,stop:int>>)"
@@ -263,13 +275,22 @@ def all_spans(low: str, pattern: str, limit: int | None = None) -> str:
         found = f"slice({found}, 1, {limit})"
     pieces = f"split({low}, {rule(pattern)}, {-1 if limit is None else limit + 1})"
     acc, step = f"x{next(_names)}", f"x{next(_names)}"
-    last = f"coalesce(try_element_at({acc}, -1).stop, 0)"
 
     def build(m: str) -> str:
         steps = f"zip_with(slice({pieces}, 1, size({m})), {m}, (p, f) -> " \
                 f"named_struct('gap', length(p), 'len', length(f)))"
-        item = span(f"{last} + {step}.gap", f"{last} + {step}.gap + {step}.len")
-        return f"aggregate({steps}, {none}, ({acc}, {step}) -> concat({acc}, array({item})))"
+        return let(steps, lambda all_: let(
+            f"transform(sequence(0, greatest(size({all_}) - 1, 0) div {_RUN}), c -> slice({all_}, c * {_RUN} + 1, {_RUN}))", in_runs))
+
+    def in_runs(runs: str) -> str:
+        """Running sums within runs of matches, and over the sums of the runs, so that no array is copied once per match."""
+        item = span(f"{acc}.at + {step}.gap", f"{acc}.at + {step}.gap + {step}.len")
+        inner = (f"aggregate(r, named_struct('at', o, 'out', {none}), ({acc}, {step}) -> named_struct('at', {acc}.at + {step}.gap + {step}.len, "
+                 f"'out', concat({acc}.out, array({item}))), {acc} -> {acc}.out)")
+        total = "aggregate(r, 0, (t, s) -> t + s.gap + s.len)"
+        offsets = (f"aggregate(transform({runs}, r -> {total}), named_struct('at', 0, 'out', cast(array() AS array<int>)), "
+                   f"(t, s) -> named_struct('at', t.at + s, 'out', concat(t.out, array(t.at))), t -> t.out)")
+        return f"flatten(zip_with({runs}, {offsets}, (r, o) -> {inner}))"
 
     return guarded(low, pattern, let(found, build), none)
 
@@ -297,8 +318,10 @@ def word_pattern(term: str) -> str:
 
 
 def words_in(low: str, terms) -> str:
-    """The terms that occur as whole words, in list order."""
-    return keep(literals(terms), lambda t: f"contains({low}, {t}) AND {low} rlike {word_pattern(t)}")
+    """The terms that occur as whole words, in list order. Each has a pattern of its own, which is compiled once."""
+    def whole(t: str) -> str:
+        return rf"\Q{t}\E(?<![\p{{L}}\p{{N}}_]\Q{t}\E)(?:e?s)?(?![\p{{L}}\p{{N}}_])"
+    return strings(f"if(contains({low}, {quote(t)}) AND {low} rlike {quote(whole(t))}, {quote(t)}, NULL)" for t in terms)
 
 
 def literals_in(low: str, terms) -> str:

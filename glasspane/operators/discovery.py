@@ -29,9 +29,7 @@ def _anchors(html: str, base: str, url: str) -> str:
 def links(pages: DataFrame) -> DataFrame:
     """Distinct links of each page in order of first appearance: page_id, pos, href, text, full."""
     bound = T.struct(h="html", b="base", u="url")
-    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.let(
-        _anchors(f"{r}.h", f"{r}.b", f"{r}.u"), lambda ls:
-        f"filter({ls}, (l, i) -> array_position(transform({ls}, q -> q.full), l.full) = i + 1)"))).alias("ls"))
+    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.distinct_by(_anchors(f"{r}.h", f"{r}.b", f"{r}.u"), "full"))).alias("ls"))
     found = found.selectExpr("page_id", "transform(ls, (x, i) -> named_struct('pos', i, 'l', x)) AS ls")
     return T.explode_rows(found, "ls", "l").select("page_id", "l.pos", "l.l.*")
 
@@ -56,9 +54,7 @@ def preferred_links(pages: DataFrame) -> DataFrame:
         return T.let(inside, lambda ls: f"if(size({ls}) > 0, {ls}, {_anchors(clean, base, url)})")
 
     bound = T.struct(h=f"regexp_replace(html, {T.quote(_CLEAN)}, '')", b="base", u="url")
-    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.let(
-        ranked(f"{r}.h", f"{r}.b", f"{r}.u"), lambda ls:
-        f"filter({ls}, (l, i) -> array_position(transform({ls}, q -> q.href), l.href) = i + 1)"))).alias("ls"))
+    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.distinct_by(ranked(f"{r}.h", f"{r}.b", f"{r}.u"), "href"))).alias("ls"))
     found = found.selectExpr("page_id", "transform(ls, (x, i) -> named_struct('pos', i, 'l', x)) AS ls")
     return T.explode_rows(found, "ls", "l").select("page_id", "l.pos", "l.l.*")
 

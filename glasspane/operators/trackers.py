@@ -141,11 +141,11 @@ def _detect(html: str, domain: str, headers: str, rows) -> str:
             return f"transform(filter({g}.hits, t -> t.{flag}), t -> concat('Known {word}: ', t.name))"
         fp = f"concat({g}.fp, {noted('fingerprinting', 'fingerprinting service')})"
         sr = f"concat({g}.sr, {noted('session_recording', 'session recorder')})"
-        unique = f"filter({g}.hits, (t, i) -> array_position(transform({g}.hits, q -> q.host), t.host) = i + 1)"
+        unique = T.distinct_by(f"{g}.hits", "host")
         groups = (f"map_from_entries(transform(array_sort(array_distinct(transform({g}.hits, t -> t.category))), "
                   f"c -> struct(c, size(filter({g}.hits, t -> t.category = c)))))")
-        return T.struct(
-            trackers=unique, total_tracker_count=f"size({unique})", by_category=groups,
+        return T.let(unique, lambda first: T.struct(
+            trackers=first, total_tracker_count=f"size({first})", by_category=groups,
             high_risk_count=f"size(filter({g}.hits, t -> t.risk IN ('high', 'critical')))",
             fingerprinting_detected=f"size({fp}) > 0",
             fingerprinting_evidence=f"slice(array_sort(array_distinct({fp})), 1, 5)",
@@ -157,7 +157,7 @@ def _detect(html: str, domain: str, headers: str, rows) -> str:
             cmp_detected=f"{g}.cmp", inline_tracker_signals=f"slice(array_sort({g}.inline), 1, 10)",
             unique_third_party_domains=f"slice(array_sort(array_distinct(transform({g}.rs, r -> r.host))), 1, "
                                        f"{R.MAX_HOSTS})",
-            privacy_sandbox_detected=f"{g}.sandbox")
+            privacy_sandbox_detected=f"{g}.sandbox"))
 
     return T.let(table, lambda tbl: T.let(_resources(html, domain), lambda rs: T.let(
         inline_scripts(html), lambda b: T.let(gather(rs, b, tbl), finish))))

@@ -69,5 +69,4 @@ DEFAULT_TRUST = 50
 DEFAULT_CATEGORY = "Unknown"
 MENTION_WINDOW = (60, 80)
 PURPOSE_RADIUS = 200
-MAX_MENTIONS = 2
 MAX_PARTIES = 30

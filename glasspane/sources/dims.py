@@ -114,9 +114,3 @@ def rule_rows() -> list[tuple]:
     for name, patterns in pages.CONSENT_PLATFORMS:
         add("consent_platform", name, "regex", patterns, name)
     return out
-
-
-def rule_table(spark: SparkSession, family: str | None = None) -> DataFrame:
-    rows = [r for r in rule_rows() if family is None or r[0] == family]
-    return spark.createDataFrame(
-        rows, "family string, rule_id string, pattern_id int, kind string, pattern string, label string")

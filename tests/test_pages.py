@@ -60,3 +60,11 @@ def test_texts(homepages):
     assert [r.text for r in extraction.container_text(nested).orderBy("page_id").collect()] == ["One\nTwo\nThree", "Alone", "Never\nclosed", ""]
     embedded = {r.page_id: r.embedded for r in extraction.embedded_text(pages).collect()}
     assert embedded == {0: "", 1: "x" * 60 + "\n" + "y" * 60}
+
+
+def test_many_links_on_one_page(homepages):
+    import time
+    pages = homepages("".join(f'<a href="/p{i % 15000}">Link</a>' for i in range(20000)))
+    began = time.time()
+    assert discovery.links(pages).count() == 15000 and discovery.preferred_links(pages).count() == 15000
+    assert time.time() - began < 20

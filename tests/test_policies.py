@@ -162,3 +162,10 @@ def test_long_lists_of_names_do_not_exhaust_the_stack(policies):
     assert one(recipients.mentioned(docs).select("name").where("name = 'Google'")).name == "Google"
     found = one(wording.detect(docs).select("wording.named_third_parties")).named_third_parties
     assert found[-1].endswith("Acme Inc")
+
+
+def test_many_periods_in_one_policy(policies):
+    import time
+    docs = policies(" ".join(f"We keep data for {i % 900 + 1} days." for i in range(5000)))
+    began = time.time()
+    assert retention.items(docs).count() > 800 and time.time() - began < 30
