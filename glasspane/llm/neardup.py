@@ -7,9 +7,8 @@
   arrival. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
 * Banding: 16 bands of 4 registers. In each bucket every text is paired with a representative, drawn anew for each band. A
   bucket in which texts are still in different classes after verification gets further rounds, with `heads` representatives each, until
-  a round links nothing. So the pairs grow with the number of texts, never with the square of a bucket.
-* Verification: exact Jaccard similarity of the two sets of shingles, for pairs whose sketches (8 bits of each register) do not rule it out.
-  Linked texts form classes.
+  a round adds no link, or no more than the share `tail` of all links (0 goes on to the last one). So the pairs grow with the number of texts, never with the square of a bucket.
+* Verification: exact Jaccard similarity of the two sets of shingles. Linked texts form classes.
 
 Words are compared in lower case (A-Z). A text of one to four words is one shingle. Null and empty texts and those without a
 word are copies of each other. Rows may repeat; ids may be null (a class of such rows only has a null class_id).
@@ -76,20 +75,16 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.when(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit("")).otherwise(text)))
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())),
-                     ("sketch", pa.list_(pa.int8()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(bodies: list[bytes], rows: pa.RecordBatch) -> dict:
     shingle, doc, count = weighted(C.Words(bodies))
     size = np.bincount(doc, minlength=len(bodies))
-    signature = signatures(shingle, doc, 1 + np.log(count), len(bodies))
-    keys = band_keys(signature).view(np.int64)
-    sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, signature.size + 1, REGISTERS), pa.int32()),
-                                      pa.array((C.mix(signature.reshape(-1)) >> np.uint64(56)).astype(np.uint8).view(np.int8)))
+    keys = band_keys(signatures(shingle, doc, 1 + np.log(count), len(bodies))).view(np.int64)
     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)),
                                      mask=pa.array(size == 0))
-    return {"id": rows["id"], "key": rows["key"], "size": size.astype(np.int32), "bands": bands, "sketch": sketch}
+    return {"id": rows["id"], "key": rows["key"], "size": size.astype(np.int32), "bands": bands}
 
 
 _SETS = pa.schema([("key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
@@ -112,55 +107,56 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _candidates(buckets: DataFrame, turn: int, heads: int, least: float) -> DataFrame:
     """Pairs (a, b) of a representative of a bucket and the other texts in it that are as long as similarity needs.
 
-    buckets: band, key, size, root (the class of the text so far) and weight (the texts of that class). Texts of other classes are
+    buckets: band, key, size, root (the class of the text so far), weight (the texts of that class) and degree (links of the text). Texts of other classes are
     paired, and only with representatives of classes at least as large as theirs, so a large class is never paired with a stray text.
     """
-    # At first the same text leads in all its buckets, so that classes become stars; later each bucket draws for itself.
-    by = [F.xxhash64("key", "band", F.lit(turn * 100 + h)) if turn else F.xxhash64("key") for h in range(heads)]
-    lead = [F.min(F.struct(x.alias("by"), "key", "size", "root", "weight")) for x in by]
-    drawn = C.durable(buckets.groupBy("band").agg(F.array(*lead).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
-                      .where("low <> high").select("band", F.explode("heads").alias("head")).distinct())
+    # At first the same text leads in all its buckets, so that classes become stars. Then the texts with most links lead in every
+    # second draw, as what has few edits is similar to most of its class. All other draws are made by each bucket for itself.
+    draw = [F.xxhash64("key", "band", F.lit(turn * 100 + h)) if turn else F.xxhash64("key") for h in range(heads)]
+    hub = [-F.col("degree") if turn == 1 and h % 2 else F.lit(0).cast("long") for h in range(heads)]
+    lead = [F.min(F.struct(x.alias("hub"), y.alias("draw"), "key", "size", "root", "weight")) for x, y in zip(hub, draw)]
+    drawn = (buckets.groupBy("band").agg(F.array(*lead).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
+                      .where("low <> high").select("band", F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("hub", "draw")))).alias("head")))
     paired = buckets.join(drawn, "band").where(
         (F.col("root") != F.col("head.root")) & (F.col("weight") <= F.col("head.weight")) & (F.least("size", "head.size") >= least * F.greatest("size", "head.size")))
     return paired.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose similarity is `least` or more. Those that agree in far fewer registers than that (by five deviations) are not looked at."""
-    for k in "ab":
-        pairs = pairs.join(sketches.select(F.col("key").alias(k), F.col("sketch").alias(f"sketch_{k}")), k)
-    agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-    pairs = pairs.where(agree >= int(REGISTERS * least - 5 * (REGISTERS * least * (1 - least)) ** 0.5)).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     one, other = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
     return pairs.join(one, "a").join(other, "b").where(both >= F.lit(least) * either).select("a", "b")
 
 
-def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 4) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 8, tail: float = 0.001) -> tuple[DataFrame, DataFrame]:
     """The rows (id, key) and, for each distinct text, key, class_key, first_id (the smallest id of its rows) and copies."""
-    rows = C.durable(_identified(docs).mapInArrow(C.by_block(_sign, _SIGNED), "id long, key binary, size int, bands array<long>, sketch array<byte>"))
+    rows = C.durable(_identified(docs).mapInArrow(C.by_block(_sign, _SIGNED), "id long, key binary, size int, bands array<long>"))
     distinct = C.durable(rows.groupBy("key").agg(
         F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("first_id"), F.min("id").alias("any_id"), F.count("*").alias("copies"),
-        F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+        F.first("size").alias("size"), F.first("bands").alias("bands")))
     banded = distinct.select("key", "size", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").count().where("count > 1").select("band")
     buckets = C.durable(banded.join(crowded, "band"))
-    met = C.durable(distinct.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "sketch", F.col("any_id").alias("id")))
-    sketches, wanted = met.select("key", "sketch"), met.select("key", "id")
+    wanted = distinct.join(buckets.select("key").distinct(), "key", "left_semi").select("key", F.col("any_id").alias("id"))
     texts = _identified(docs).join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
     sets = C.durable(texts.mapInArrow(C.by_block(_sets, _SETS), "key binary, shingles array<long>"))
-    root = None
+    root, total = None, 0
     for turn in range(rounds):
-        apart = buckets.withColumns({"root": F.col("key"), "weight": F.lit(1).cast("long")})
+        apart = buckets.withColumns({"root": F.col("key"), "weight": F.lit(1).cast("long"), "degree": F.lit(0).cast("long")})
         if root is not None:
-            known = root.join(root.groupBy("root").agg(F.count("*").alias("weight")), "root").withColumnRenamed("node", "key")
-            apart = buckets.join(known, "key", "left").withColumns({"root": F.coalesce("root", "key"), "weight": F.coalesce("weight", F.lit(1))})
-        new = C.durable(_verified(_candidates(apart, turn, heads if turn else 1, least), sketches, sets, least))
-        if turn and not new.agg(F.count("*")).first()[0]:
+            degree = new.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            known = root.join(root.groupBy("root").agg(F.count("*").alias("weight")), "root").join(degree, "node", "left")
+            apart = buckets.join(known.withColumnRenamed("node", "key"), "key", "left").withColumns({
+                "root": F.coalesce("root", "key"), "weight": F.coalesce("weight", F.lit(1)), "degree": F.coalesce("degree", F.lit(0))})
+        new = C.durable(_verified(_candidates(apart, turn, heads if turn else 1, least), sets, least))
+        found = new.agg(F.count("*")).first()[0]
+        if not turn or found:
+            root = components(new) if root is None else merged(root, new)
+        total += found
+        if turn and found <= tail * total:
             break
-        root = components(new) if root is None else merged(root, new)
-    texts = distinct.drop("bands", "sketch", "any_id", "size")
+    texts = distinct.drop("bands", "any_id", "size")
     return rows, texts.join(root.withColumnRenamed("node", "key"), "key", "left").select(
         "key", F.coalesce("root", "key").alias("class_key"), "first_id", "copies")
 
