@@ -5,9 +5,11 @@
 * Signature: every shingle, weighted with 1 + ln(its count), is a Poisson process. Its arrivals go to random registers, and
   each register keeps the shingle that comes first. A text is done as soon as no shingle can come before the latest first
   arrival. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
-* Banding: 16 bands of 4 registers. In each bucket every text is paired with a representative, drawn anew for each band. A
-  bucket in which texts are still in different classes after verification gets further rounds, with `heads` representatives each, until
-  a round adds no link, or no more than the share `tail` of all links (0 goes on to the last one). So the pairs grow with the number of texts, never with the square of a bucket.
+* Banding: 16 bands of 4 registers. Two rounds save work: in each bucket every text is paired with a representative, then with up to
+  `heads` of them where its texts are still in different classes. Nothing depends on what these rounds leave out.
+* Rest: the texts of all buckets that still hold more than one class are joined exactly. Each shows its prefix, the first
+  size - ceil(least * size) + 1 shingles in one common order, frequent ones last; similar texts share a shingle of their prefixes.
+  Classes are joined on it first (salted), then their texts, by size and place in the order; texts of one class are never paired.
 * Verification: exact Jaccard similarity of the two sets of shingles. Linked texts form classes.
 
 Words are compared in lower case (A-Z). A text of one to four words is one shingle. Null and empty texts and those without a
@@ -16,6 +18,8 @@ word are copies of each other. Rows may repeat; ids may be null (a class of such
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,7 +112,8 @@ def _candidates(buckets: DataFrame, turn: int, heads: int, least: float) -> Data
     """Pairs (a, b) of a representative of a bucket and the other texts in it that are as long as similarity needs.
 
     buckets: band, key, size, root (the class of the text so far), weight (the texts of that class) and degree (links of the text). Texts of other classes are
-    paired, and only with representatives of classes at least as large as theirs, so a large class is never paired with a stray text.
+    paired, and only with representatives of classes at least as large as theirs, so a large class is never paired with a stray text here;
+    _rest() pairs those.
     """
     # At first the same text leads in all its buckets, so that classes become stars. Then the texts with most links lead in every
     # second draw, as what has few edits is similar to most of its class. All other draws are made by each bucket for itself.
@@ -129,7 +134,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(both >= F.lit(least) * either).select("a", "b")
 
 
-def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 8, tail: float = 0.001) -> tuple[DataFrame, DataFrame]:
+_PREFIXES = "key binary, root binary, size int, at int, shingle long"
+
+
+def _prefixes(least: float, frequent: np.ndarray, count: np.ndarray):
+    """A function for mapInArrow: the prefix of each text, with places from 0. frequent: shingles in order, count: how frequent they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch["shingles"]
+            size = np.diff(sets.offsets.to_numpy())
+            shingle, doc = sets.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            rank = np.zeros(len(shingle), np.int64)
+            if len(frequent):
+                near = np.minimum(np.searchsorted(frequent, shingle), len(frequent) - 1)
+                rank = np.where(frequent[near] == shingle, count[near], 0)
+            order = np.lexsort((shingle, rank, doc))
+            at = np.arange(len(shingle)) - np.repeat(np.cumsum(size) - size, size)
+            shown = np.flatnonzero(at <= size[doc] - np.ceil(least * size[doc] - 1e-9))
+            of = pa.array(doc[shown])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(of), batch["root"].take(of), pa.array(size[doc[shown]], pa.int32()),
+                                              pa.array(at[shown], pa.int32()), pa.array(shingle[order][shown], pa.int64())],
+                                             names=["key", "root", "size", "at", "shingle"])
+    return run
+
+
+def _rest(apart: DataFrame, sets: DataFrame, least: float, counted: int = 20000, often: int = 8, salted: int = 256) -> DataFrame:
+    """Pairs (a, b) that can be as similar as `least`, of all texts of different classes in buckets that hold more than one class.
+
+    apart: band, key, root. The order of shingles is counted in about `counted` texts, where those in `often` texts or more are frequent; any
+    order gives the same links, only the number of pairs to verify differs.
+    """
+    mixed = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    texts = C.durable(apart.join(mixed, "band", "left_semi").select("key", "root").distinct())
+    share = max(1, texts.count() // counted)
+    drawn = texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).join(sets, "key").select(F.explode("shingles").alias("shingle"))
+    order = drawn.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= often).toArrow().sort_by("shingle")
+    shown = texts.join(sets, "key").select("key", "root", "shingles").mapInArrow(
+        _prefixes(least, order["shingle"].to_numpy(), order["n"].to_numpy()), _PREFIXES)
+    shown = C.durable(shown)
+    groups = shown.groupBy("shingle", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.expr("size - at")).alias("left"))
+    shared = groups.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    groups = C.durable(groups.join(shared, "shingle").withColumn("salts", F.ceil(F.col("classes") / salted).cast("int")))
+    one = groups.withColumn("salt", F.pmod(F.xxhash64("root"), "salts").cast("int")).alias("one")
+    other = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("other")
+    # A pair is as similar as `least` if it shares least / (1 + least) of both sizes; from its first common shingle on, it shares no more than either has left.
+    ratio = least / (1 + least) - 1e-9
+    met = one.join(other, ["shingle", "salt"]).where(
+        (F.col("one.root") < F.col("other.root"))
+        & (F.col("one.high") >= (least - 1e-9) * F.col("other.low")) & (F.col("other.high") >= (least - 1e-9) * F.col("one.low"))
+        & (F.least("one.left", "other.left") >= ratio * (F.col("one.low") + F.col("other.low")))).select(
+        "shingle", F.col("one.root").alias("root_a"), F.col("other.root").alias("root_b"))
+    for k in "ab":
+        side = shown.select("shingle", F.col("root").alias(f"root_{k}"), F.col("key").alias(k), F.col("size").alias(f"size_{k}"), F.expr("size - at").alias(f"left_{k}"))
+        met = met.join(side, ["shingle", f"root_{k}"])
+    met = met.where((F.least("size_a", "size_b") >= (least - 1e-9) * F.greatest("size_a", "size_b"))
+                    & (F.least("left_a", "left_b") >= ratio * (F.col("size_a") + F.col("size_b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, least: float = 0.8, heads: int = 8) -> tuple[DataFrame, DataFrame]:
     """The rows (id, key) and, for each distinct text, key, class_key, first_id (the smallest id of its rows) and copies."""
     rows = C.durable(_identified(docs).mapInArrow(C.by_block(_sign, _SIGNED), "id long, key binary, size int, bands array<long>"))
     distinct = C.durable(rows.groupBy("key").agg(
@@ -141,21 +204,16 @@ def classes(docs: DataFrame, least: float = 0.8, rounds: int = 8, heads: int = 8
     wanted = distinct.join(buckets.select("key").distinct(), "key", "left_semi").select("key", F.col("any_id").alias("id"))
     texts = _identified(docs).join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
     sets = C.durable(texts.mapInArrow(C.by_block(_sets, _SETS), "key binary, shingles array<long>"))
-    root, total = None, 0
-    for turn in range(rounds):
-        apart = buckets.withColumns({"root": F.col("key"), "weight": F.lit(1).cast("long"), "degree": F.lit(0).cast("long")})
-        if root is not None:
-            degree = new.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            known = root.join(root.groupBy("root").agg(F.count("*").alias("weight")), "root").join(degree, "node", "left")
-            apart = buckets.join(known.withColumnRenamed("node", "key"), "key", "left").withColumns({
-                "root": F.coalesce("root", "key"), "weight": F.coalesce("weight", F.lit(1)), "degree": F.coalesce("degree", F.lit(0))})
-        new = C.durable(_verified(_candidates(apart, turn, heads if turn else 1, least), sets, least))
-        found = new.agg(F.count("*")).first()[0]
-        if not turn or found:
-            root = components(new) if root is None else merged(root, new)
-        total += found
-        if turn and found <= tail * total:
-            break
+    apart = buckets.withColumns({"root": F.col("key"), "weight": F.lit(1).cast("long"), "degree": F.lit(0).cast("long")})
+    new = C.durable(_verified(_candidates(apart, 0, 1, least), sets, least))
+    root = components(new)
+    degree = new.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    known = root.join(root.groupBy("root").agg(F.count("*").alias("weight")), "root").join(degree, "node", "left")
+    apart = buckets.join(known.withColumnRenamed("node", "key"), "key", "left").withColumns({
+        "root": F.coalesce("root", "key"), "weight": F.coalesce("weight", F.lit(1)), "degree": F.coalesce("degree", F.lit(0))})
+    root = merged(root, _verified(_candidates(apart, 1, heads, least), sets, least))
+    apart = buckets.select("band", "key").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    root = merged(root, _verified(_rest(apart, sets, least), sets, least))
     texts = distinct.drop("bands", "any_id", "size")
     return rows, texts.join(root.withColumnRenamed("node", "key"), "key", "left").select(
         "key", F.coalesce("root", "key").alias("class_key"), "first_id", "copies")

@@ -63,6 +63,21 @@ def test_large_groups_of_near_copies(spark):
     assert got(N.label(df)) == classes(rows)
 
 
+def test_pairs_in_a_crowded_bucket_of_dissimilar_texts(spark):
+    """600 texts of one common passage and words of their own, with 40 pairs of near copies among them; all in one bucket, no bucket apart."""
+    r = random.Random(5)
+    common = [f"w{r.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join(common + [f"q{r.randrange(10**6)}" for _ in range(30)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + f" z{i} z{i + 1}") for i in range(40)]
+    sets = N._identified(spark.createDataFrame(rows, "doc_id long, text string")).mapInArrow(
+        C.by_block(N._sets, N._SETS), "key binary, shingles array<long>").cache()
+    apart = sets.select(F.lit(1).cast("long").alias("band"), "key", F.col("key").alias("root"))
+    pairs = N._rest(apart, sets, 0.8, salted=7)
+    links = {(bytes(x["a"]), bytes(x["b"])) for x in N._verified(pairs, sets, 0.8).collect()}
+    assert len(links) == 40 and pairs.count() < 400
+    assert N._rest(apart.withColumn("root", F.lit(b"all")), sets, 0.8).count() == 0
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(N.label(odd)) == classes(rows)
