@@ -1,6 +1,7 @@
 """Benchmark items inside documents, by size-partitioned MinHash containment search.
 
-Items are divided by their number of shingles into classes of at most 16, 32, 64 ... shingles. For each class, every document
+Items of one to eight shingles are looked up exactly, by each of their shingles. The others are divided by their number of shingles
+into classes of at most 16, 32, 64 ... shingles. For each class, every document
 is cut into windows of twice that size that overlap by half, so an item lies whole in some window and is at least about
 a fifth of it, however long the document is. Items and windows get MinHash signatures with one row a band: an item and a
 window are candidates where one minimum agrees. Candidates are verified by the exact share of the item's distinct shingles
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WIDTH, HASHES, SMALLEST = 5, 48, 16
+WIDTH, HASHES, SMALLEST, EXACT = 5, 48, 16, 8  # EXACT: items of so many shingles are looked up by all of them
 BLOCK = 8 << 20  # bytes of item texts that are sent to the tasks at once, in the mean
 _r = np.random.default_rng(11)
 _MULTIPLY = _r.integers(1, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -42,15 +43,20 @@ class Index:
         self.ids = [i for i, _ in items]
         words = C.Words([b for _, b in items])
         shingle, doc = words.shingles(WIDTH)
-        self.short, self.classes = {}, {}
+        self.short, self.classes, exact = {}, {}, []
         by_class: dict[int, list[int]] = {}
         cuts = np.searchsorted(doc, np.arange(len(items) + 1))
         self.sets = [np.unique(shingle[cuts[k]:cuts[k + 1]]) for k in range(len(items))]
         for k, n in enumerate(words.per_doc):
             if 0 < n < WIDTH:
                 self.short.setdefault(int(n), []).append(k)
+            elif n and len(self.sets[k]) <= EXACT:
+                exact.append(k)
             elif n:
                 by_class.setdefault(max(SMALLEST, 1 << int(len(self.sets[k]) - 1).bit_length()), []).append(k)
+        held = np.concatenate([np.zeros(0, np.uint64), *[self.sets[k] for k in exact]])
+        order = np.argsort(held, kind="stable")
+        self.exact = held[order], np.repeat(np.array(exact, np.int64), [len(self.sets[k]) for k in exact])[order]
         for width, ks in self.short.items():
             for k in ks:
                 self.sets[k] = C.Words([items[k][1]]).shingles(width)[0]
@@ -83,6 +89,14 @@ class Index:
                     for h, a, b in zip(of[hit], left[hit], right):
                         yield np.full(b - a, h), ks[i][a:b]
 
+    def _looked_up(self, shingle: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Texts and items of at most EXACT shingles that share one."""
+        held, ks = self.exact
+        left, right = np.searchsorted(held, shingle), np.searchsorted(held, shingle, side="right")
+        hit = np.flatnonzero(left < right)
+        for h, a, b in zip(doc[hit], left[hit], right[hit]):
+            yield np.full(b - a, h), ks[a:b]
+
     def search(self, bodies: list[bytes], least: float) -> list[tuple[int, int, int, int]]:
         """(text, item, shingles of the item, of these in the text) for every item whose share in the text is at least `least`."""
         words, out = C.Words(bodies), []
@@ -91,12 +105,12 @@ class Index:
             for k in ks:
                 out += [(int(d), k, 1, 1) for d in np.unique(doc[shingle == self.sets[k][0]]) if words.per_doc[d] >= width]
         long = words.per_doc >= WIDTH
-        if not self.classes or not long.any():
+        if not (self.classes or len(self.exact[0])) or not long.any():
             return out
         shingle, doc = words.shingles(WIDTH)
         keep = long[doc]
         shingle, doc = shingle[keep], doc[keep]
-        found = list(self._windows(shingle, doc))
+        found = [*self._looked_up(shingle, doc), *self._windows(shingle, doc)]
         if not found:
             return out
         pairs = np.unique(np.stack([np.concatenate([x[j] for x in found]) for j in (0, 1)], 1), axis=0)

@@ -335,3 +335,15 @@ def test_language_model_of_odd_rows(odd, none):
     assert len(out) == odd.count() and all(r["score"] < 0 and r["base_score"] <= 0 for r in out)
     assert hmm.score(hmm.train(none, C.fold("doc_id", 10) == 0)).count() == 0
     assert hmm.score(hmm.train(odd, F.lit(True))).count() == odd.count()
+
+
+def test_items_of_few_shingles_in_long_texts():
+    r = random.Random(2)
+    items = [(i, " ".join(f"k{r.randrange(10**6)}" for _ in range(5 + i % 8)).encode()) for i in range(400)]
+    bodies = []
+    for _, item in items:
+        words = [f"w{r.randrange(10**6)}".encode() for _ in range(600)]
+        words[300:300] = [item]
+        bodies.append(b" ".join(words))
+    found = contamination.Index(items).search(bodies, 0.8)
+    assert sorted((d, k) for d, k, _, _ in found) == [(i, i) for i in range(400)]
