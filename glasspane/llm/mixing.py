@@ -1,8 +1,9 @@
 """Sources mixed to target weights by Pfair scheduling.
 
 Every source is cut into blocks of `block` rows. A source of weight w gets its k-th block released at slot floor((k - 1) / w) and
-due at ceil(k / w); of the released blocks, the one due first takes the next slot. Weights are whole shares of a cycle, so
-the schedule of one cycle repeats for ever: it depends on the weights alone, and the slot of a block is then arithmetic. At
+due at ceil(k / w); of the released blocks, the one due first takes the next slot. Weights are whole shares of a cycle,
+as long as their common denominator makes it, so the shares are the targets themselves; only a caller that gives `cycle` has them
+rounded to its slots. The schedule of one cycle repeats for ever: it depends on the weights alone, and the slot of a block is then arithmetic. At
 every slot each source has had its share of the slots so far to within less than one block, as long as it has rows;
 the slots of a source that has run out are passed over, so every row is placed exactly once.
 
@@ -18,13 +19,15 @@ from __future__ import annotations
 
 import json
 from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 REST = ""
-CYCLE = 200  # slots of a cycle: weights are rounded to whole shares of it
+CYCLE = 200  # slots of the cycle of the query op2_mixing, whose check query has them: weights are rounded to whole shares of it
+LONGEST = 20000  # slots of an exact cycle, at most
 
 
 def shares(weights: dict[str, float], rest: float, cycle: int = CYCLE) -> dict[str, int]:
@@ -42,6 +45,19 @@ def shares(weights: dict[str, float], rest: float, cycle: int = CYCLE) -> dict[s
     return out
 
 
+def exact(weights: dict[str, float], rest: float) -> dict[str, int]:
+    """Slots of each source in the shortest cycle that has the weights exactly, as they are written in decimals."""
+    wanted = {**{k: Fraction(str(v)) for k, v in weights.items()}, REST: Fraction(str(rest))}
+    if min(wanted.values()) <= 0 or REST in weights:
+        raise ValueError("positive weights for `rest` and all named sources are needed")
+    whole = lcm(*[v.denominator for v in wanted.values()])
+    out = {k: int(v * whole) for k, v in wanted.items()}
+    out = {k: v // gcd(*out.values()) for k, v in out.items()}
+    if sum(out.values()) > LONGEST:
+        raise ValueError(f"the weights need a cycle of {sum(out.values())} slots; give weights of fewer digits, or a cycle to round them to")
+    return out
+
+
 def timetable(share: dict[str, int]) -> dict[str, list[int]]:
     """Slots that each source takes in a cycle: earliest deadline first among the released blocks."""
     cycle, done, out = sum(share.values()), dict.fromkeys(share, 0), {k: [] for k in share}
@@ -57,10 +73,11 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def mix(docs: DataFrame, weights: dict[str, float], rest: float, block: int = 64, cycle: int = CYCLE,
+def mix(docs: DataFrame, weights: dict[str, float], rest: float, block: int = 64, cycle: int | None = None,
         part_rows: int = 4096) -> DataFrame:
     """The rows of docs with mix_pool, mix_rank (from 0 within the pool), mix_block (from 1), mix_slot and mix_position (from 0)."""
-    share = shares(weights, rest, cycle)
+    share = exact(weights, rest) if cycle is None else shares(weights, rest, cycle)
+    cycle = sum(share.values())
     slots, pools = timetable(share), sorted(share)
     named = F.coalesce(F.col("source").isin([k for k in pools if k != REST]), F.lit(False))
     rows = docs.withColumn("mix_pool", F.when(named, F.col("source")).otherwise(F.lit(REST)))

@@ -43,7 +43,7 @@ def judge_addresses(spark: SparkSession, path: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, path: str) -> DataFrame:
     rows = read(spark, path, "documents").select("doc_id", "source", "text")
-    return mixing.mix(rows, TARGETS, REST_WEIGHT).drop("text")
+    return mixing.mix(rows, TARGETS, REST_WEIGHT, cycle=mixing.CYCLE).drop("text")
 
 
 def toxicity_scores(spark: SparkSession, path: str) -> DataFrame:

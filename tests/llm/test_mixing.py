@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import duckdb
 import pytest
 
@@ -16,6 +18,23 @@ def test_less_than_one_block_from_the_share(weights, rest):
             assert abs(sum(s < t for s in slots) - t * share[k] / cycle) < 1
 
 
+def test_less_than_one_block_from_the_targets_over_many_cycles(spark):
+    total = sum(Fraction(v) for v in Q.TARGETS.values()) + Fraction(Q.REST_WEIGHT)
+    docs = spark.range(18600).selectExpr("id AS doc_id", "'x' AS text", "concat('src', id % 20) AS source")
+    slots = {}
+    for x in M.mix(docs, Q.TARGETS, Q.REST_WEIGHT, block=1).select("mix_pool", "mix_slot").collect():
+        slots.setdefault(x["mix_pool"], []).append(x["mix_slot"])
+    for k, v in Q.TARGETS.items():
+        for n, slot in enumerate(sorted(slots[k])):
+            assert abs(n - slot * Fraction(v) / total) < 1 and abs(n + 1 - (slot + 1) * Fraction(v) / total) < 1
+
+
+def test_shares_are_the_weights_or_refused():
+    assert M.exact({"a": 0.1, "b": 0.25}, 0.05) == {"a": 2, "b": 5, "": 1}
+    with pytest.raises(ValueError):
+        M.exact({"a": 0.1234567}, 1)
+
+
 def test_same_rows_as_the_check_query(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
