@@ -4,7 +4,8 @@ Method. A text is normalised (spaces become U+2581, one is put in front), then i
 of symbols whose joined text is a piece, ordered by the piece's score and then from left to right; the best pair is merged, its neighbours
 enter the agenda anew, and entries whose symbols are gone are passed over. What is left is looked up; a symbol that is no piece becomes its
 UTF-8 bytes or, in a vocabulary without bytes, the unknown id (one for a run of them). Where no piece holds U+2581 after another character, no
-merge ever reaches over the beginning of a word, so words have agendas of their own and the ids of short words are remembered per task.
+merge ever reaches over the beginning of a word, so words have agendas of their own. Short words that are new in a block are merged together,
+each by its own agenda, one pair a turn in numpy; their ids are remembered within the task.
 Decoding joins the pieces, byte pieces as bytes (each byte that is no UTF-8 becomes U+FFFD), and takes off the space that was put in front.
 
 Spark. Map-only, in Arrow batches: a task works through blocks of about 2 MB of text; nothing is shuffled, hot sources and copies cost what
@@ -23,6 +24,7 @@ import functools
 import heapq
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPACE = "\N{LOWER ONE EIGHTH BLOCK}"
-REMEMBERED = 1 << 17  # words whose ids a task remembers; then it starts anew
+REMEMBERED = 1 << 18  # words whose ids a task remembers from block to block; beyond, it starts anew
 LONG = 32             # longer words are not remembered, and their agenda is a heap
 
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("agrees", pa.bool_())])
@@ -83,10 +85,62 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in (self.byte or {}).items()}
         self.unknown = kind.index(2)
         self.silent = {i for i, k in enumerate(kind) if k == 3}
+        self.special = {i for i, k in enumerate(kind) if k != 1}
         self.surface = trainer.get(44, " \N{DOUBLE QUESTION MARK} ".encode()).decode()
+        self.raw = [b"" if k == 3 else bytes([self.byte_of[i]]) if k == 6 else self.surface.encode() if k == 2 else t.replace(SPACE, " ").encode()
+                    for i, (t, k) in enumerate(zip(self.text, kind))]
+        letters = set("".join(self.id))
+        alone = "".join(chr(c) for c in range(128) if chr(c) not in letters)  # in no piece, so no merge reaches over them
         apart = not any(SPACE in t.lstrip(SPACE) for t in self.id)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else r"[\s\S]+")
-        self.known: dict[str, list[int]] = {}
+        stop = re.escape(alone) + (SPACE if apart else "")
+        self.words = re.compile((f"{SPACE}*" if apart else "") + (f"[^{stop}]+" if stop else r"[\s\S]+") + (f"|{SPACE}+" if apart else "")
+                                + (f"|[{re.escape(alone)}]" if alone else ""))
+        self._pairs()
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is known: `known` has a word's number, `ids` the ids of all words one after another, `ends` where a word's end."""
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _pairs(self) -> None:
+        """For merging many words at once: the id of every one-character piece, and a hash table from two ids to the piece they make."""
+        self.letter = np.full(0x110000, -1, np.int32)
+        made: dict[int, int] = {}
+        for t, i in self.id.items():
+            if len(t) == 1:
+                self.letter[ord(t)] = i
+            for cut in range(1, len(t)):
+                if (x := self.id.get(t[:cut])) is not None and (y := self.id.get(t[cut:])) is not None:
+                    made[x << 32 | y] = i
+        self.place = np.full(len(self.text) + 1, len(self.text), np.int32)  # by id, the last entry: no piece
+        for t, i in self.id.items():
+            self.place[i] = self.rank[t]
+        self.bits = max(4, (16 * len(made)).bit_length())
+        self.key, self.makes = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, len(self.text), np.int32)
+        keys, values = np.fromiter(made.keys(), np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made))
+        for k, v, at in zip(keys.tolist(), values.tolist(), self._slot(keys).tolist()):
+            while self.key[at] >= 0:
+                at = (at + 1) & (1 << self.bits) - 1
+            self.key[at], self.makes[at] = k, v
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make; the number of pieces where they make none."""
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = self._slot(keys)
+        here = self.key[at]
+        out = np.where(here == keys, self.makes[at], len(self.text))
+        other = np.nonzero((here >= 0) & (here != keys))
+        while len(other[0]):
+            at[other] = next_at = (at[other] + 1) & (1 << self.bits) - 1
+            here = self.key[next_at]
+            out[other] = np.where(here == keys[other], self.makes[next_at], len(self.text))
+            more = (here >= 0) & (here != keys[other])
+            other = tuple(x[more] for x in other)
+        return out
 
     def normal(self, text: str) -> str:
         if self.squeeze:
@@ -97,6 +151,65 @@ class Vocabulary:
         """The symbols that are left when no adjacent pair makes a piece any more. The agenda of a short word is a list, of a long one a heap."""
         return self._by_list(word) if len(word) <= LONG else self._by_heap(word)
 
+    def _together(self, words: list[str], wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, one after another, and how many each has, of words of at most `wide` letters that are all pieces; each turn, every word merges the best pair of its agenda."""
+        none, n, row = len(self.text), len(words), wide + 1
+        size = np.array([len(w) for w in words])
+        column = np.arange(row)
+        alive = column < size[:, None]
+        symbol = np.zeros((n, row), np.int32)
+        symbol[alive] = self.letter[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        makes = np.full((n, row), none, np.int32)
+        makes[:, :-1] = np.where(alive[:, 1:], self._made(symbol[:, :-1], symbol[:, 1:]), none)
+        agenda = self.place[makes]
+        after, before = np.tile(column + 1, n), np.tile(column - 1, n)
+        symbol, makes, flat, alive, going = symbol.reshape(-1), makes.reshape(-1), agenda.reshape(-1), alive.reshape(-1), np.arange(n)
+        while True:
+            now = agenda[going]
+            best = now.argmin(1)  # the leftmost of the best
+            good = now[np.arange(len(going)), best] < none
+            going, best = going[good], best[good]
+            if not len(going):
+                return symbol[alive], np.add.reduceat(alive, np.arange(0, n * row, row), dtype=np.int64)
+            base = going * row
+            left = base + best
+            gone = base + after[left]
+            right = base + after[gone]
+            joined = makes[left]
+            symbol[left], alive[gone], flat[gone] = joined, False, none
+            after[left], before[right] = right - base, best
+            made = np.where(right - base < size[going], self._made(joined, symbol[right]), none)
+            makes[left], flat[left] = made, self.place[made]
+            has = before[left] >= 0
+            left, joined = base[has] + before[left[has]], joined[has]
+            made = self._made(symbol[left], joined)
+            makes[left], flat[left] = made, self.place[made]
+
+    def learn(self, words: list[str]) -> None:
+        """Makes the words known."""
+        words.sort(key=len)
+        size = np.array([len(w) for w in words], np.int64)
+        short = int(np.searchsorted(size, LONG, side="right"))
+        codes = np.frombuffer("".join(words[:short]).encode("utf-32-le"), np.uint32)
+        odd = np.ones(len(words), bool)  # those with letters that are no pieces, and long ones
+        odd[:short] = np.add.reduceat(self.letter[codes] < 0, np.cumsum(size[:short]) - size[:short]) > 0 if short else False
+        order, ids, sizes = [], [self.ids], []
+        for low, wide in ((0, 4), (4, 8), (8, 12), (12, 16), (16, LONG)):
+            part = [words[i] for i in np.flatnonzero(~odd & (size > low) & (size <= wide)).tolist()]
+            for first in range(0, len(part), 8192):
+                some = part[first:first + 8192]
+                for kept, new in zip((ids, sizes), self._together(some, wide)):
+                    kept.append(new)
+                order += some
+        for i in np.flatnonzero(odd).tolist():
+            one = self.looked_up(self.merged(words[i]))
+            ids.append(np.array(one, np.int32))
+            sizes.append(np.array([len(one)]))
+            order.append(words[i])
+        self.known.update(zip(order, range(len(self.ends) - 1, len(self.ends) - 1 + len(order))))
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.ends
+
     def _by_list(self, word: str) -> list[str]:
         place, symbol, none = self.rank.get, list(word), len(self.text)
         agenda = [place(word[i:i + 2], none) for i in range(len(word) - 1)]
@@ -145,22 +258,45 @@ class Vocabulary:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out, known = [], self.known
-        for word in self.words.findall(self.normal(text)):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.looked_up(self.merged(word))
-                if len(word) <= LONG:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        if not self.byte and self.unknown in out:  # a run of unknown symbols is one id
-            out = [i for k, i in enumerate(out) if i != self.unknown or k == 0 or out[k - 1] != self.unknown]
-        return out
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after another, and where those of each end. Words that are new in these texts are merged together."""
+        if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
+            self.forget()
+        parts = [self.words.findall(self.normal(t)) for t in texts]
+        new = [w for w in set().union(*parts) if w not in self.known]
+        if new:
+            self.learn(new)
+        per_text = np.array([len(p) for p in parts], np.int64)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, per_text.sum())
+        for w in new:
+            if len(w) > LONG:
+                del self.known[w]
+        start, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(per_text)]
+        if not self.byte:  # a run of unknown symbols in a text is one id
+            again = np.concatenate([[False], (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)])[:len(ids)]
+            again[np.concatenate([[0], ends])[:-1][np.diff(ends, prepend=0) > 0]] = False
+            ends = np.concatenate([[0], np.cumsum(~again)])[ends]
+            ids = ids[~again]
+        return ids, ends
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, ends = self.flat(texts)
+        return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> str:
+        """The text of the ids; at once where all ids but the first may be any letters or bytes, and the bytes are whole characters."""
+        if ids and not self.squeeze and min(ids) >= 0 and max(ids) < len(self.text) and ids[0] not in self.special:
+            try:
+                text = b"".join([self.raw[i] for i in ids]).decode()
+                return text[1:] if self.front and self.text[ids[0]].startswith(SPACE) else text
+            except UnicodeDecodeError:
+                pass
+        return self._decode_each(ids)
+
+    def _decode_each(self, ids: list[int]) -> str:
         parts, run, at_start = [], bytearray(), bool(self.front or self.squeeze)
         for i in ids:
             if i in self.byte_of:
@@ -219,9 +355,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def work(bodies, rows):
         v = vocabulary(model)
         texts = [b.decode("utf-8", "replace") for b in bodies]
-        ids = [v.encode(t) for t in texts]
+        ids, ends = v.flat(texts)
         same = v.library.encode(texts, num_threads=1)
-        return {"doc_id": rows.column("doc_id"), "ids": ids, "agrees": [a == b for a, b in zip(ids, same)]}
+        length = np.array([len(x) for x in same], np.int64)
+        equal = np.diff(ends, prepend=0) == length
+        if equal.all():  # else a text's lists are compared by themselves
+            differ = np.flatnonzero(ids != np.fromiter(chain.from_iterable(same), np.int32, length.sum()))
+            equal[np.searchsorted(ends, differ, side="right")] = False
+        else:
+            equal = np.array([a.tolist() == b for a, b in zip(np.split(ids, ends[:-1]), same)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+        return {"doc_id": rows.column("doc_id"), "ids": lists, "agrees": equal}
     rows = C.texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(C.by_block(work, IDS), "doc_id long, ids array<int>, agrees boolean")
 

@@ -46,12 +46,13 @@ def test_pieces_of_made_texts(model):
     v, r = pieces.Vocabulary(pieces.model_bytes(model)), random.Random(3)
     parts = list(" ▁ab\n\t\0é日本\U0001f600́�xyz") + ["the", "ing", " in", "   ", "a" * 40, "=" * 70, "ab" * 50]
     for _ in range(3000):
-        t = "".join(r.choice(parts) for _ in range(r.randrange(20)))
-        assert v.encode(t) == v.library.encode(t)
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(2)]
+        assert v.encode(texts) == v.library.encode(texts)
         ids = [r.randrange(300) if r.random() < 0.5 else r.randrange(32000) for _ in range(r.randrange(12))]
         assert v.decode(ids) == v.library.decode(ids)
-    for t in ("a" * 300_000, "=" * 300_000, "word " * 50_000):
-        assert v.encode(t) == v.library.encode(t)
+    texts = ["a" * 300_000, "=" * 300_000, "word " * 50_000]
+    assert v.encode(texts) == v.library.encode(texts)
+    assert max(map(len, v.known)) <= pieces.LONG
 
 
 def field(number, value):
@@ -82,7 +83,7 @@ def test_pieces_of_made_vocabularies(front, squeeze):
         for _ in range(40):
             t = "".join(r.choice("aabbcd  ") for _ in range(r.randrange(80)))
             ids = v.library.encode(t)
-            assert v.encode(t) == ids, (words, t)
+            assert v.encode([t]) == [ids], (words, t)
             assert v.decode(ids) == v.library.decode(ids), (words, t)
 
 
