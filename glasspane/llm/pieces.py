@@ -89,19 +89,22 @@ class Vocabulary:
         self.surface = trainer.get(44, " \N{DOUBLE QUESTION MARK} ".encode()).decode()
         self.raw = [b"" if k == 3 else bytes([self.byte_of[i]]) if k == 6 else self.surface.encode() if k == 2 else t.replace(SPACE, " ").encode()
                     for i, (t, k) in enumerate(zip(self.text, kind))]
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_ends = np.concatenate([[0], np.cumsum([len(r) for r in self.raw])])
         letters = set("".join(self.id))
         alone = "".join(chr(c) for c in range(128) if chr(c) not in letters)  # in no piece, so no merge reaches over them
         apart = not any(SPACE in t.lstrip(SPACE) for t in self.id)
         stop = re.escape(alone) + (SPACE if apart else "")
         self.words = re.compile((f"{SPACE}*" if apart else "") + (f"[^{stop}]+" if stop else r"[\s\S]+") + (f"|{SPACE}+" if apart else "")
                                 + (f"|[{re.escape(alone)}]" if alone else ""))
+        self.by_space = bool(apart and self.front and not self.squeeze)
         self._pairs()
         self.forget()
 
     def forget(self) -> None:
-        """No word is known: `known` has a word's number, `ids` the ids of all words one after another, `ends` where a word's end."""
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """Only the empty word is known: `known` has a word's number, `ids` the ids of all words one after another, `ends` where a word's end."""
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.ends, self.long = np.zeros(0, np.int32), np.zeros(2, np.int64), []
 
     def _pairs(self) -> None:
         """For merging many words at once: the id of every one-character piece, and a hash table from two ids to the piece they make."""
@@ -186,7 +189,27 @@ class Vocabulary:
             makes[left], flat[left] = made, self.place[made]
 
     def learn(self, words: list[str]) -> None:
-        """Makes the words known."""
+        """Makes the words known; one that holds symbols which stand alone is made of its parts."""
+        self.long += [w for w in words if len(w) > LONG]
+        apart = {w: p for w in words if len(p := self.words.findall(w)) > 1}
+        if apart:
+            self.learn([w for w in set().union(*apart.values()) if w not in self.known])
+            words = [w for w in words if w not in apart]
+        self._learn(words)
+        if apart:
+            number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(apart.values())), np.int64)
+            ids, upto = self._gathered(number)
+            self.known.update(zip(apart, range(len(self.ends) - 1, len(self.ends) - 1 + len(apart))))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + upto[np.cumsum([len(p) for p in apart.values()])]])
+            self.ids = np.concatenate([self.ids, ids])
+
+    def _gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and where each begins; the last entry is where all end."""
+        start, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])], upto
+
+    def _learn(self, words: list[str]) -> None:
         words.sort(key=len)
         size = np.array([len(w) for w in words], np.int64)
         short = int(np.searchsorted(size, LONG, side="right"))
@@ -262,18 +285,14 @@ class Vocabulary:
         """The ids of the texts one after another, and where those of each end. Words that are new in these texts are merged together."""
         if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
             self.forget()
-        parts = [self.words.findall(self.normal(t)) for t in texts]
-        new = [w for w in set().union(*parts) if w not in self.known]
-        if new:
-            self.learn(new)
-        per_text = np.array([len(p) for p in parts], np.int64)
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, per_text.sum())
-        for w in new:
-            if len(w) > LONG:
-                del self.known[w]
-        start, size = self.ends[number], self.ends[number + 1] - self.ends[number]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        words, number, per_text = self._by_space(texts) if self.by_space else self._by_pattern(texts)
+        new = [w for w in words if w not in self.known]
+        self.learn(list(new))
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[number]
+        for w in self.long:
+            del self.known[w]
+        self.long = []
+        ids, upto = self._gathered(number)
         ends = upto[np.cumsum(per_text)]
         if not self.byte:  # a run of unknown symbols in a text is one id
             again = np.concatenate([[False], (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)])[:len(ids)]
@@ -282,6 +301,36 @@ class Vocabulary:
             ids = ids[~again]
         return ids, ends
 
+    def _by_pattern(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of the texts, the number of each word, and how many words each text has."""
+        parts, numbers = [self.words.findall(self.normal(t)) for t in texts], {}
+        number = [numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(parts)]
+        return list(numbers), np.array(number, np.int64), np.array([len(p) for p in parts], np.int64)
+
+    def _by_space(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The same where a space is in front of every text: what stands between spaces are the words, and runs of spaces go with the next one."""
+        parts = pa.compute.split_pattern(pa.compute.replace_substring(pa.array(texts, pa.string()), SPACE, " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, number = [SPACE + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64)
+        per_text = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+        if SPACE in words:
+            empty = number == words.index(SPACE)
+            last = np.zeros(len(number), bool)
+            last[np.cumsum(per_text) - 1] = True
+            runs, begins = np.flatnonzero(empty), np.concatenate([[True], ~empty[:-1] | last[:-1]]) & empty
+            begin = np.maximum.accumulate(np.where(begins, np.arange(len(number)), 0))
+            numbers = {w: i for i, w in enumerate(words)}
+            nothing = numbers.setdefault("", len(numbers))
+            number[runs] = nothing
+            closing = runs[last[runs]]  # a run that ends its text; the empty text has no ids
+            for at in closing[~begins[closing] | (per_text[np.searchsorted(np.cumsum(per_text), closing, side="right")] > 1)].tolist():
+                number[at] = numbers.setdefault(SPACE * (at - begin[at] + 1), len(numbers))
+            for at in (runs[~last[runs]] + 1).tolist():
+                if not empty[at]:
+                    number[at] = numbers.setdefault(SPACE * int(at - 1 - begin[at - 1] + 1) + words[number[at]], len(numbers))
+            words = list(numbers)
+        return words, number, per_text
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         ids, ends = self.flat(texts)
         return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
@@ -296,6 +345,24 @@ class Vocabulary:
                 pass
         return self._decode_each(ids)
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of lists of ids that stand one after another."""
+        if not self.front or self.squeeze:
+            return [self.decode(x.tolist()) for x in np.split(ids, ends[:-1])] if len(ends) else []
+        size = self.raw_ends[ids + 1] - self.raw_ends[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        body = self.raw_bytes[np.repeat(self.raw_ends[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        first = np.concatenate([[0], ends])[:-1]
+        out = []
+        for a, b, i, j in zip(upto[first].tolist(), upto[ends].tolist(), first.tolist(), ends.tolist()):
+            try:
+                if i < j and ids[i] in self.special:
+                    raise ValueError
+                out.append(body[a + (i < j and self.text[ids[i]].startswith(SPACE)):b].decode())
+            except ValueError:  # bytes that are no characters, or ids that are no letters in front
+                out.append(self._decode_each(ids[i:j].tolist()))
+        return out
+
     def _decode_each(self, ids: list[int]) -> str:
         parts, run, at_start = [], bytearray(), bool(self.front or self.squeeze)
         for i in ids:
@@ -378,11 +445,19 @@ def decode(encoded: DataFrame, path: str, *more: Column) -> DataFrame:
     kept = [c for c in rows.columns if c != "ids"]
 
     def texts(v, column):
-        lists = [[-1 if i is None else i for i in x or []] for x in column.to_pylist()]
-        out = [v.decode(x) for x in lists]
-        known = [not x or 0 <= min(x) and max(x) < len(v.text) for x in lists]
-        same = v.library.decode([x if k else [] for x, k in zip(lists, known)], num_threads=1)
-        return pa.array(out, pa.string()), pa.array([k and a == b for k, a, b in zip(known, out, same)], pa.bool_())
+        flat = pa.compute.fill_null(column.flatten(), -1).to_numpy()
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        strange = np.flatnonzero((flat < 0) | (flat >= len(v.text)))
+        if len(strange):
+            lists = [x.tolist() for x in np.split(flat, ends[:-1])]
+            known = np.ones(len(lists), bool)
+            known[np.searchsorted(ends, strange, side="right")] = False
+            out = [v.decode(x) for x in lists]
+            same = v.library.decode([x if k else [] for x, k in zip(lists, known)], num_threads=1)
+        else:
+            known, out = np.ones(len(column), bool), v.texts(flat, ends)
+            same = v.library.decode([x or [] for x in column.to_pylist()], num_threads=1)
+        return pa.array(out, pa.string()), pa.array(known & np.array([a == b for a, b in zip(out, same)], bool), pa.bool_())
 
     def run(batches):
         v = vocabulary(model)
