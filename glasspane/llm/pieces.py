@@ -190,48 +190,37 @@ class Vocabulary:
 
     def learn(self, words: list[str]) -> None:
         """Makes the words known; one that holds symbols which stand alone is made of its parts."""
-        self.long += [w for w in words if len(w) > LONG]
-        apart = {w: p for w in words if len(p := self.words.findall(w)) > 1}
-        if apart:
-            self.learn([w for w in set().union(*apart.values()) if w not in self.known])
-            words = [w for w in words if w not in apart]
-        self._learn(words)
-        if apart:
-            number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(apart.values())), np.int64)
-            ids, upto = self._gathered(number)
-            self.known.update(zip(apart, range(len(self.ends) - 1, len(self.ends) - 1 + len(apart))))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + upto[np.cumsum([len(p) for p in apart.values()])]])
-            self.ids = np.concatenate([self.ids, ids])
-
-    def _gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after another, and where each begins; the last entry is where all end."""
-        start, size = self.ends[number], self.ends[number + 1] - self.ends[number]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])], upto
-
-    def _learn(self, words: list[str]) -> None:
         words.sort(key=len)
         size = np.array([len(w) for w in words], np.int64)
         short = int(np.searchsorted(size, LONG, side="right"))
+        self.long += words[short:]
         codes = np.frombuffer("".join(words[:short]).encode("utf-32-le"), np.uint32)
-        odd = np.ones(len(words), bool)  # those with letters that are no pieces, and long ones
-        odd[:short] = np.add.reduceat(self.letter[codes] < 0, np.cumsum(size[:short]) - size[:short]) > 0 if short else False
-        order, ids, sizes = [], [self.ids], []
+        plain = np.zeros(len(words), bool)  # short and of letters that are pieces
+        plain[:short] = np.add.reduceat(self.letter[codes] < 0, np.cumsum(size[:short]) - size[:short]) == 0 if short else False
         for low, wide in ((0, 4), (4, 8), (8, 12), (12, 16), (16, LONG)):
-            part = [words[i] for i in np.flatnonzero(~odd & (size > low) & (size <= wide)).tolist()]
+            part = [words[i] for i in np.flatnonzero(plain & (size > low) & (size <= wide)).tolist()]
             for first in range(0, len(part), 8192):
-                some = part[first:first + 8192]
-                for kept, new in zip((ids, sizes), self._together(some, wide)):
-                    kept.append(new)
-                order += some
-        for i in np.flatnonzero(odd).tolist():
-            one = self.looked_up(self.merged(words[i]))
-            ids.append(np.array(one, np.int32))
-            sizes.append(np.array([len(one)]))
-            order.append(words[i])
-        self.known.update(zip(order, range(len(self.ends) - 1, len(self.ends) - 1 + len(order))))
-        self.ids = np.concatenate(ids)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.ends
+                self._keep(part[first:first + 8192], *self._together(part[first:first + 8192], wide))
+        rest = {words[i]: self.words.findall(words[i]) for i in np.flatnonzero(~plain).tolist()}
+        alone = [w for w, p in rest.items() if len(p) == 1]
+        ids = [self.looked_up(self.merged(w)) for w in alone]
+        self._keep(alone, np.array(list(chain.from_iterable(ids)), np.int32), np.array([len(x) for x in ids], np.int64))
+        parts = {w: p for w, p in rest.items() if len(p) > 1}
+        if parts:
+            self.learn([w for w in set().union(*parts.values()) if w not in self.known])
+            ids, upto = self._gathered(np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts.values())), np.int64))
+            self._keep(list(parts), ids, np.diff(upto[np.cumsum([len(p) for p in parts.values()])], prepend=0))
+
+    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Adds words with their ids, which stand one after another."""
+        self.known.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+
+    def _gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and where each begins; the last entry is where all end."""
+        start, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])], upto
 
     def _by_list(self, word: str) -> list[str]:
         place, symbol, none = self.rank.get, list(word), len(self.text)
@@ -311,7 +300,7 @@ class Vocabulary:
         """The same where a space is in front of every text: what stands between spaces are the words, and runs of spaces go with the next one."""
         parts = pa.compute.split_pattern(pa.compute.replace_substring(pa.array(texts, pa.string()), SPACE, " "), " ")
         coded = parts.flatten().dictionary_encode()
-        words, number = [SPACE + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64)
+        words, number = pa.compute.binary_join_element_wise(SPACE, coded.dictionary, "").to_pylist(), coded.indices.to_numpy().astype(np.int64)
         per_text = np.diff(parts.offsets.to_numpy()).astype(np.int64)
         if SPACE in words:
             empty = number == words.index(SPACE)
