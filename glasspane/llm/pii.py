@@ -156,17 +156,17 @@ def _new_spans(rows: DataFrame, by: str, **how) -> DataFrame:
         "start", order.alias("ord"), F.concat(F.lit("found_"), "kind").alias("kind"), "stop")).alias("found"))
 
 
-def _all_spans(base: Column) -> Column:
+def _all_spans(base: Column, found: Column) -> Column:
     """Base spans and those found that no base span overlaps, in order."""
-    free = F.filter("found", lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return F.when(F.col("found").isNull(), base).otherwise(F.array_sort(F.concat(base, free)))
+    free = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return F.when(found.isNull(), base).otherwise(F.array_sort(F.concat(base, free)))
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
     """doc_id, base and spans of every row: sorted arrays of start, ord, kind, stop (code points, stop exclusive)."""
     rows = extracted(docs)
     found = _new_spans(rows, "row", **how)
-    return rows.join(found, "row", "left").select("doc_id", "base", _all_spans(F.col("base")).alias("spans"))
+    return rows.join(found, "row", "left").select("doc_id", "base", _all_spans(F.col("base"), F.col("found")).alias("spans"))
 
 
 def masked(docs: DataFrame, **how) -> DataFrame:
@@ -174,14 +174,18 @@ def masked(docs: DataFrame, **how) -> DataFrame:
 
     Spans that overlap become one mark, named after the first. A text without spans stays as it is, null too; of a masked one, n_chars follows.
     """
-    found = _new_spans(extracted(docs), "key", **how).select(F.col("key").alias("pii_key"), "found")
-    rows = docs.withColumn("pii_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    rows = rows.join(found, "pii_key", "left").withColumn("pii_base", F.expr(let("coalesce(text, '')", _base)))
-    rows = rows.withColumn("pii_spans", _all_spans(F.col("pii_base")))
-    text = F.expr("""aggregate(pii_spans, named_struct('at', 0L, 'out', ''), (s, x) -> named_struct('at', greatest(s.at, x.stop), 'out',
+    own = "pii"
+    while any(c.startswith(f"{own}__") for c in docs.columns):
+        own += "_"
+    key, base, new, spans = (f"{own}__{k}" for k in ("key", "base", "new", "spans"))
+    found = _new_spans(extracted(docs), "key", **how).select(F.col("key").alias(key), F.col("found").alias(new))
+    rows = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = rows.join(found, key, "left").withColumn(base, F.expr(let("coalesce(text, '')", _base)))
+    rows = rows.withColumn(spans, _all_spans(F.col(base), F.col(new)))
+    text = F.expr(f"""aggregate({spans}, named_struct('at', 0L, 'out', ''), (s, x) -> named_struct('at', greatest(s.at, x.stop), 'out',
         CASE WHEN x.start < s.at THEN s.out ELSE concat(s.out, substring(text, int(s.at) + 1, int(x.start - s.at)), '<',
         upper(replace(x.kind, 'found_', '')), '>') END), s -> concat(s.out, substring(text, int(s.at) + 1)))""")
-    rows = rows.withColumn("text", F.when(F.size("pii_spans") > 0, text).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

@@ -45,7 +45,7 @@ def judge_addresses(spark: SparkSession, path: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, path: str) -> DataFrame:
     rows = read(spark, path, "documents").select("doc_id", "source", "text")
-    return mixing.mix(rows, TARGETS, REST_WEIGHT, cycle=mixing.CYCLE).drop("text")
+    return mixing.mix(rows, TARGETS, REST_WEIGHT).drop("text")
 
 
 def toxicity_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +119,8 @@ QUERIES = {
     "op13_hard_negatives": hard_negatives,
 }
 
-_SHARES = mixing.shares(TARGETS, REST_WEIGHT)
+_SHARES = mixing.exact(TARGETS, REST_WEIGHT)
+_CYCLE = sum(_SHARES.values())
 
 CHECKS = {
     # The schedule of a cycle, slot by slot: among the released blocks the one due first. Then every block's slot, then the order.
@@ -129,15 +130,15 @@ edf(slot, state, pick) AS (
   SELECT -1, list({{'pool': pool, 'c': c, 'done': 0}}), '' FROM share
   UNION ALL
   SELECT slot + 1, list_transform(state, lambda s: {{'pool': s.pool, 'c': s.c, 'done': s.done + CASE WHEN s.pool = best THEN 1 ELSE 0 END}}), best
-  FROM (SELECT slot, state, list_sort(list_transform(list_filter(state, lambda s: s.done < s.c AND s.done * {mixing.CYCLE} // s.c <= slot + 1),
-          lambda s: {{'due': ((s.done + 1) * {mixing.CYCLE} + s.c - 1) // s.c, 'light': -s.c, 'pool': s.pool}}))[1].pool AS best
-        FROM edf WHERE slot + 1 < {mixing.CYCLE})),
+  FROM (SELECT slot, state, list_sort(list_transform(list_filter(state, lambda s: s.done < s.c AND s.done * {_CYCLE} // s.c <= slot + 1),
+          lambda s: {{'due': ((s.done + 1) * {_CYCLE} + s.c - 1) // s.c, 'light': -s.c, 'pool': s.pool}}))[1].pool AS best
+        FROM edf WHERE slot + 1 < {_CYCLE})),
 slots AS (SELECT pick AS pool, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM edf WHERE slot >= 0),
 ranked AS (SELECT doc_id, source, CASE WHEN source IN ({', '.join(f"'{k}'" for k in TARGETS)}) THEN source ELSE '' END AS pool,
   md5(coalesce(cast(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS digest FROM documents),
 placed AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY digest) - 1 AS mix_rank FROM ranked),
 slotted AS (SELECT p.doc_id, p.source, p.pool AS mix_pool, p.mix_rank, p.mix_rank // 64 + 1 AS mix_block,
-  (p.mix_rank // 64) // s.c * {mixing.CYCLE} + t.slot AS mix_slot
+  (p.mix_rank // 64) // s.c * {_CYCLE} + t.slot AS mix_slot
   FROM placed p JOIN share s ON s.pool = p.pool JOIN slots t ON t.pool = p.pool AND t.j = (p.mix_rank // 64) % s.c)
 SELECT doc_id, source, mix_pool, mix_rank, mix_block, mix_slot,
   row_number() OVER (ORDER BY mix_slot, mix_rank) - 1 AS mix_position FROM slotted""",

@@ -36,13 +36,9 @@ _EDGE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 def chains(bodies: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hash of each step for every word without the punctuation around it, the text of each word, words per text."""
     words = C.Words(bodies)
-    start, end = words.start.copy(), words.end.copy()
-    for side, step, at in ((end, -1, -1), (start, 1, 0)):
-        while True:
-            loose = (end > start) & _EDGE[words.bytes[np.clip(side + at, 0, len(words.bytes) - 1)]]
-            if not loose.any():
-                break
-            side[loose] += step
+    place, inner = np.arange(len(words.bytes)), ~_EDGE[words.bytes]
+    end = np.maximum.accumulate(np.where(inner, place, -1))[words.end - 1] + 1  # behind the last byte that is no punctuation
+    start = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][words.start]
     solid = end > start
     words.start, words.end, words.doc = start[solid], end[solid], words.doc[solid]
     steps = [words.hashes(n) ^ np.uint64(i) for i, n in enumerate(STEPS)]

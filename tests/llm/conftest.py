@@ -12,7 +12,8 @@ ODD = [(None, "no id at all, but some words in a row", "en", "src0", 1), (1, Non
        (7, "same words here again and again", "de", "src0", 31), (None, None, None, "src0", None)]
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that an operator could use itself.
-CLASH = ("score", "label", "body", "row", "key", "band", "held_out", "spans", "base", "words", "size", "root", "n", "class_id", "verdict", "host")
+CLASH = ("score", "label", "body", "row", "band", "held_out", "spans", "base", "words", "size", "root", "n", "class_id", "verdict", "host",
+         "found", "pii__key", "pii__base", "pii__new", "pii__spans", "key", "mix__digest", "mix__part", "mix__row", "mix__upto", "mix__here", "kind", "x")
 
 
 @pytest.fixture(scope="session")

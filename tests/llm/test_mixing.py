@@ -2,20 +2,23 @@ from fractions import Fraction
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from glasspane.llm import mixing as M
 from glasspane.llm import queries as Q
 
 
-@pytest.mark.parametrize("weights, rest", [({"a": 5, "b": 3, "c": 1}, 1), ({f"s{i}": 1 + i for i in range(30)}, 7), ({"a": 1000}, 1)])
+@pytest.mark.parametrize("weights, rest", [({"a": 5, "b": 3, "c": 1}, 1), ({f"s{i}": 1 + i for i in range(30)}, 7), ({"a": 1000}, 1), ({"a": 0.123, "b": 0.57}, 0.3)])
 def test_less_than_one_block_from_the_share(weights, rest):
-    share = M.shares(weights, rest)
+    share = M.exact(weights, rest)
     table = M.timetable(share)
     cycle = sum(share.values())
-    assert cycle == M.CYCLE and sorted(s for x in table.values() for s in x) == list(range(cycle))
+    assert sorted(s for x in table.values() for s in x) == list(range(cycle))
+    total = sum(Fraction(str(v)) for v in weights.values()) + Fraction(str(rest))
     for k, slots in table.items():
+        want = Fraction(str(weights.get(k, rest))) / total
         for t in range(cycle + 1):
-            assert abs(sum(s < t for s in slots) - t * share[k] / cycle) < 1
+            assert abs(sum(s < t for s in slots) - t * want) < 1
 
 
 def test_less_than_one_block_from_the_targets_over_many_cycles(spark):
@@ -53,6 +56,8 @@ def test_small_parts_give_the_same_order(spark, sf):
 def test_odd_rows(odd, none):
     out = M.mix(odd, {"src0": 2, "src1": 1}, 1)
     rows = out.collect()
+    assert {r[c] for r in rows for c in ("mix__digest", "mix__part", "found")} == {"own"}
+    assert M.mix(odd.withColumn("mix_slot", F.lit("own")), {"src0": 2}, 1).columns == [*odd.columns, "mix_pool", "mix_rank", "mix_block", "mix_slot", "mix_position"]
     assert sorted(r["mix_position"] for r in rows) == list(range(len(rows))) and set(odd.columns) < set(out.columns)
     assert {r["mix_pool"] for r in rows} == {"src0", "src1", ""}
     assert M.mix(none, {"src0": 2}, 1).count() == 0

@@ -347,3 +347,13 @@ def test_items_of_few_shingles_in_long_texts():
         bodies.append(b" ".join(words))
     found = contamination.Index(items).search(bodies, 0.8)
     assert sorted((d, k) for d, k, _, _ in found) == [(i, i) for i in range(400)]
+
+
+def test_long_runs_of_punctuation_take_no_longer():
+    """A megabyte of one sign beside many words: edges are found in one pass."""
+    import time
+    began = time.time()
+    steps, doc, n = toxicity.chains([b"=" * 1_000_000 + b"x! " + b"(some) words, " * 50_000, b"...", b"", b"--a-b--"])
+    assert time.time() - began < 20 and n.tolist() == [100_001, 0, 0, 1] and len(doc) == 100_002
+    plain, _, _ = toxicity.chains([b"x some words", b"a-b"])
+    assert [s[[0, 1, 2, 100_001]].tolist() for s in steps] == [s.tolist() for s in plain]
