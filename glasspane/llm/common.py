@@ -36,6 +36,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """As durable(), for rows of a few numbers: in few partitions where they are few, so that later steps have few tasks."""
+    out = durable(df)
+    return out.coalesce(max(slots(df.sparkSession), -(-out.count() // rows)))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -16,13 +16,14 @@ def components(links: DataFrame) -> DataFrame:
     links gives no rows.
     """
     ends = links.where("a <> b")
-    near = C.durable(ends.select("a", "b").union(ends.select("b", "a")).union(ends.select("a", "a")).union(ends.select("b", "b")).distinct())
+    near = C.packed(ends.select("a", "b").union(ends.select("b", "a")).union(ends.select("a", "a")).union(ends.select("b", "b")).distinct())
+    parts = near.rdd.getNumPartitions()
     label = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     while True:
         told = near.join(label.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(
             F.min("root").alias("via"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("was"))
         jump = label.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
-        new = C.durable(told.join(jump, "via").select("node", F.least("via", "beyond").alias("root"), (F.col("was") != F.col("via")).alias("changed")))
+        new = C.durable(told.join(jump, "via").select("node", F.least("via", "beyond").alias("root"), (F.col("was") != F.col("via")).alias("changed"))).coalesce(parts)
         if not new.agg(F.count_if("changed")).first()[0]:
             return new.select("node", "root")
         label = new.select("node", "root")
@@ -33,8 +34,8 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
     for k in "ab":
         known = root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
         links = links.join(known, k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
-    links = C.durable(links)
+    links = C.packed(links)
     joined = components(links.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     nodes = root.union(links.select("a", "root_a")).union(links.select("b", "root_b")).distinct()
     to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return C.durable(nodes.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return C.packed(nodes.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))

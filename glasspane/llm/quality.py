@@ -4,7 +4,7 @@ A text is its UTF-8 bytes. Every byte has a learned embedding and one more chann
 few bytes earlier too. Learned filters slide over the whole text, their responses are pooled by maximum over overlapping
 chunks, the chunks by maximum and mean, and a logistic unit turns the pooled responses into one probability.
 
-The network is fitted in the driver on a bounded sample: at most `sample_rows` labelled rows of each class, each of at most
+The network is fitted in one task, so that the driver holds no texts, on a bounded sample: at most `sample_rows` labelled rows of each class, each of at most
 `sample_bytes` bytes, taken by a hash of their ids. The shift of the class shares that this makes is taken back by the
 counts of all labelled rows. Scoring is one pass over whole texts, without a shuffle.
 
@@ -14,6 +14,7 @@ without labels of both classes gives every text the share of label 1, or 0.5 whe
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,14 +162,22 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int
     """The network fitted on labelled rows that are not held out."""
     picked, count = C.sample(docs, labels, "quality", held_out, sample_rows)
     usable = picked.where(F.octet_length("text") <= sample_bytes)
-    sample = [(r["text"], k) for k in (0, 1) for r in usable.where(F.col("label") == k).orderBy("doc_id", "text").limit(sample_rows).collect()]
-    truth = np.array([x[1] for x in sample], float)
-    if not 0 < truth.sum() < len(truth):
+    zero, one = (usable.where(F.col("label") == k).orderBy("doc_id", "text").limit(sample_rows) for k in (0, 1))
+
+    def fitted(batches):
+        rows = sorted((k, d, t) for batch in batches for d, t, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
+        truth = np.array([k for k, _, _ in rows], float)
+        net = fit([t.encode() for _, _, t in rows], truth) if 0 < truth.sum() < len(truth) else None
+        yield pa.RecordBatch.from_pydict({"net": [pickle.dumps((net, truth))]})
+
+    sample = zero.union(one).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    found = sample.coalesce(1).mapInArrow(fitted, "net binary").first()  # at most 2 x sample_rows x sample_bytes
+    net, truth = pickle.loads(found["net"]) if found else (None, np.zeros(0))
+    if net is None:
         net = Network.fresh(0)
         net.out[:] = 0
         net.shift = 0.0 if not count else 40.0 * (2 * bool(count.get(1)) - 1) if len(count) == 1 else float(np.log(count[1] / count[0]))
         return net
-    net = fit([x[0].encode() for x in sample], truth)
     ones = truth.mean()
     net.shift += np.log(count[1] / count[0]) - np.log(ones / (1 - ones))
     return net
