@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.where("a <> b")
     near = C.packed(ends.select("a", "b").union(ends.select("b", "a")).union(ends.select("a", "a")).union(ends.select("b", "b")).distinct())
-    parts = near.rdd.getNumPartitions()
+    parts = max(1, near.rdd.getNumPartitions())
     label = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     while True:
         told = near.join(label.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(
