@@ -18,6 +18,7 @@ def elements(html: str, *tags: str) -> str:
     return f"filter(regexp_extract_all({html}, {quote(rule)}, 0), e -> NOT startswith(e, '<!--'))"
 
 
+# Tags as the check queries state them.
 TAG = r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
 
 
@@ -40,6 +41,32 @@ def any_tag_name(element: str) -> str:
     return f"lower(regexp_extract({element}, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
 
 
+def closing(names: str, at: str) -> str:
+    """Index of the tag that closes the element opened at index `at`: where its name is as often closed as opened, else behind the last tag.
+
+    names: array<struct<name, step>> of all tags, step 1 for an opening and -1 for a closing tag. One fold with a depth, so elements of the
+    same kind may be nested as deep as they like.
+    """
+    rest = f"slice({names}, {at} + 2, size({names}))"
+    own = f"element_at({names}, {at} + 1).name"
+    moved = ("named_struct('at', s.at + 1, 'depth', s.depth + if(x.name = s.name, x.step, 0), 'name', s.name, "
+             "'stop', if(s.stop IS NULL AND s.depth + if(x.name = s.name, x.step, 0) = 0, s.at, s.stop))")
+    return (f"aggregate({rest}, named_struct('at', int({at} + 1), 'depth', 1, 'name', {own}, 'stop', cast(NULL AS int)), "
+            f"(s, x) -> if(s.stop IS NOT NULL, s, {moved}), s -> coalesce(s.stop, int(size({names}))))")
+
+
+def named_steps(tags: str) -> str:
+    """name and step of all tags, for closing()."""
+    return (f"transform({tags}, t -> named_struct('name', {any_tag_name('t')}, 'step', "
+            f"CASE WHEN startswith(t, '</') THEN -1 WHEN endswith(t, '/>') THEN 0 ELSE 1 END))")
+
+
+def between(tags: str, pieces: str, at: str, stop: str) -> str:
+    """Markup from the tag at index `at` up to the one at index `stop`."""
+    cut = [f"slice({x}, {at} + {n}, {stop} - {at})" for x, n in ((tags, 1), (pieces, 2))]
+    return f"array_join(flatten(zip_with({cut[0]}, {cut[1]}, (t, p) -> array(t, p))), '')"
+
+
 def text_lines(nodes: str, least: int) -> str:
     """Lines of text nodes; lines of up to `least` characters are left out."""
     split = f"split({unescape(f'array_join({nodes}, {quote(chr(10))})')}, {quote(chr(10))})"

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..rules import answers as A
 
 ANSWER = ("struct<tldr:string,plain_summary:string,headline_risks:array<string>,red_flags:array<struct<issue:string,"
           "evidence:string,severity:string,action:string>>,positive_findings:array<string>,compliance_gaps:"
           "array<struct<regulation:string,gap:string,recommendation:string>>,user_rights_summary:string,"
           "recommended_actions:array<string>,risk_narrative:string,data_story:string,ai_score_commentary:string>")
+LISTS = {"headline_risks": "array<string>", "red_flags": "array<struct<issue:string,evidence:string,severity:string,action:string>>",
+         "positive_findings": "array<string>", "compliance_gaps": "array<struct<regulation:string,gap:string,recommendation:string>>",
+         "recommended_actions": "array<string>"}
 EXCERPT_CHARS = 3500
 
 
@@ -85,6 +91,29 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("answer", read).withColumn("ai_available", F.col("answer").isNotNull())
 
 
+def analyses(answers: DataFrame, sites: DataFrame) -> DataFrame:
+    """One analysis for each stored answer (site_id, response and other columns): its fields, empty where the answer lacks them.
+
+    An answer that cannot be read, or none at all, gives the fallback row made of the site's domain, grade and score (sites: site_id, domain, grade,
+    overall), with ai_available = false; its texts are null where the site is unknown. Sites meet answers by id, so only names and scores are moved.
+    """
+    read = F.col("ai_available")
+    known = sites.select("site_id", *[F.col(c).alias(f"site_{c}") for c in ("domain", "grade", "overall")])
+    rows = parse_answers(answers).join(known, "site_id", "left")
+    own = F.struct(*[F.col(f"site_{c}") for c in ("domain", "grade", "overall")]).alias("site")
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"(\{\w+\})", text)
+        field = {"{domain}": "site_domain", "{grade}": "site_grade", "{score}": "site_overall"}
+        return F.concat(*[F.col(field[x]).cast("string") if x in field else F.lit(x) for x in parts if x])
+
+    texts = [F.when(read, F.coalesce(f"answer.{k}", F.lit(""))).otherwise(filled(v)).alias(k) for k, v in A.FALLBACK.items()]
+    risks = F.array(*map(F.lit, A.FALLBACK_RISKS))
+    lists = [F.when(~read & F.lit(k == "headline_risks"), risks if k == "headline_risks" else F.lit(None)).otherwise(
+        F.coalesce(F.col(f"answer.{k}"), F.from_json(F.lit("[]"), kind))).alias(k) for k, kind in LISTS.items()]
+    return rows.select(*answers.columns, own, "ai_available", *texts, *lists)
+
+
 def red_flags(parsed: DataFrame) -> DataFrame:
     """Red flags of the answers, most severe first."""
     rank = T.lookup({"critical": 0, "high": 1, "medium": 2, "low": 3}, "f.severity", 3)

@@ -34,24 +34,37 @@ def links(pages: DataFrame) -> DataFrame:
     return T.explode_rows(found, "ls", "l").select("page_id", "l.pos", "l.l.*")
 
 
-REGION_TAGS = ("footer", "nav", "div", "section", "ul", "p", "aside", "table", "td", "span")
+def _region(kind: str, value: str, o: str) -> str:
+    """Whether an opening tag (struct<name, role, id, class>) begins a region; class is a list of words."""
+    if kind == "tag":
+        return f"{o}.name = {T.quote(value)}"
+    return f"contains({o}.class, {T.quote(f' {value} ')})" if kind == "class" else f"coalesce({o}.{kind} = {T.quote(value)}, false)"
 
 
-def region(kind: str, value: str) -> str:
-    """Pattern of a whole region of a page, up to its first closing tag."""
-    if kind == "tag":
-        return rf"(?i)<{value}\b[^>]*>[\s\S]*?</{value}\s*>"
-    inner = value if kind != "class" else rf"(?:[^\"'>]*\s)?{value}(?:\s[^\"'>]*)?"
-    mark = rf"""[^>]*[\s"'/]{kind}\s*=\s*(?:"{inner}"|'{inner}')[^>]*>[\s\S]*?"""
-    return "(?i)" + "|".join(rf"<{t}{mark}</{t}\s*>" for t in REGION_TAGS)
+def regions(tags: str, names: str) -> str:
+    """Indexes of the first element of each kind of region, in the order of the kinds, each once."""
+    kinds = sorted({v for k, v in R.LINK_REGIONS if k == "tag"})
+    mark = T.quote(r"(?i)^<(?:" + "|".join(kinds) + r")\b|^<[a-z][^>]*[\s\"'/](?:class|id|role)\s*=")
+    opened = T.struct(at="i", name=f"element_at({names}, i + 1).name", role=H.attribute("t", "role"), id=H.attribute("t", "id"),
+                      **{"class": f"concat(' ', regexp_replace(coalesce({H.attribute('t', 'class')}, ''), '\\\\s+', ' '), ' ')"})
+    listed = f"array_compact(transform({tags}, (t, i) -> if(t rlike {mark}, {opened}, NULL)))"
+    return T.let(listed, lambda os: "array_distinct(array_compact(array(" + ", ".join(
+        f"get(filter({os}, o -> {_region(k, v, 'o')}), 0).at"
+        for k, v in R.LINK_REGIONS) + ")))")
 
 
 def preferred_links(pages: DataFrame) -> DataFrame:
-    """Links of the footer, navigation and legal regions in order of preference, else all links of the page."""
+    """Links of the footer, navigation and legal regions in order of preference, else all links of the page.
+
+    A region is a whole element: it ends where its own tag is as often closed as opened, with the page if it is never closed.
+    """
     def ranked(clean: str, base: str, url: str) -> str:
-        regions = ", ".join(f"regexp_extract({clean}, {T.quote(region(k, v))}, 0)" for k, v in R.LINK_REGIONS)
-        inside = f"flatten({T.each(f'array({regions})', lambda g: _anchors(g, base, url))})"
-        return T.let(inside, lambda ls: f"if(size({ls}) > 0, {ls}, {_anchors(clean, base, url)})")
+        def inside(tags: str) -> str:
+            def each(x: str) -> str:
+                return T.let(H.closing(f"{x}.names", f"{x}.at"), lambda stop: _anchors(H.between(f"{x}.tags", f"{x}.pieces", f"{x}.at", stop), base, url))
+            return T.let(T.struct(tags=tags, names=H.named_steps(tags), pieces=H.pieces(clean)), lambda p: "flatten(" + T.each(
+                f"transform({regions(f'{p}.tags', f'{p}.names')}, a -> named_struct('at', a, 'tags', {p}.tags, 'names', {p}.names, 'pieces', {p}.pieces))", each) + ")")
+        return T.let(T.let(H.tags(clean), inside), lambda ls: f"if(size({ls}) > 0, {ls}, {_anchors(clean, base, url)})")
 
     bound = T.struct(h=f"regexp_replace(html, {T.quote(_CLEAN)}, '')", b="base", u="url")
     found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.distinct_by(ranked(f"{r}.h", f"{r}.b", f"{r}.u"), "href"))).alias("ls"))

@@ -40,8 +40,9 @@ def accountability(low: str) -> str:
 def sentence_length(text: str) -> str:
     """Mean number of words per sentence; 0 without sentences."""
     words, sentences = "'[^\\\\s.!?]+'", "'[^.!?\\\\s][^.!?]*'"
-    return (f"coalesce(try_divide(cast(regexp_count({text}, {words}) as double), "
-            f"cast(regexp_count({text}, {sentences}) as double)), 0D)")
+    spaced = f"translate({text}, {T.quote(T.WIDE_SPACES)}, {T.quote(' ' * len(T.WIDE_SPACES))})"
+    return T.let(spaced, lambda t: f"coalesce(try_divide(cast(regexp_count({t}, {words}) as double), "
+                 f"cast(regexp_count({t}, {sentences}) as double)), 0D)")
 
 
 def readability(mean: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import (context, dark_patterns, data_types, discovery, extraction, history, match, parties, recipients,
                          reports, retention, rights, scoring, trackers, wording)
+from ..rules import answers as answer_rules
 from ..rules import dark_patterns as dark_rules
 from ..rules import data_types as type_rules
 from ..rules import discovery as disc_rules
@@ -1036,6 +1038,23 @@ def _(spark, path):
     return parsed.select("conv_id", "turn", "ai_available", "answer.tldr", F.array_join("answer.headline_risks", "|").alias("risks"))
 
 
+_NO_ANSWER = {k: " || ".join("CAST(overall AS VARCHAR)" if x == "{score}" else x[1:-1] if x.startswith("{") else q(x) for x in re.split(r"(\{\w+\})", v) if x)
+              for k, v in answer_rules.FALLBACK.items()}
+
+
+@query("l3_analyses", f"""SELECT conv_id, turn, k < 2 AS ai_available, {", ".join(f"CASE k WHEN 0 THEN {q('src sells data' if f == 'tldr' else '')} WHEN 1 THEN "
+    f"{q({'tldr': 'all fine', 'plain_summary': 'short'}.get(f, ''))} ELSE {text} END AS {f}" for f, text in _NO_ANSWER.items())}, CASE k WHEN 0 THEN
+    'sale|profiling' WHEN 1 THEN '' ELSE {q('|'.join(answer_rules.FALLBACK_RISKS))} END AS risks, CASE k WHEN 0 THEN 2 ELSE 0 END AS n_flags,
+    CASE k WHEN 1 THEN 'opt out' ELSE '' END AS actions FROM (SELECT conv_id, turn, (conv_id + turn) % 4 AS k FROM conversations)
+    LEFT JOIN (SELECT doc_id AS conv_id, domain, grade, overall FROM §scored) USING (conv_id)""")
+def _(spark, path):
+    stored = tables.answers(spark, path).withColumn("site_id", F.col("conv_id"))
+    sites = _scored(spark, path).select(F.col("doc_id").alias("site_id"), "domain", "grade", "overall")
+    return context.analyses(stored, sites).select(
+        "conv_id", "turn", "ai_available", *answer_rules.FALLBACK, F.array_join("headline_risks", "|").alias("risks"),
+        F.size("red_flags").alias("n_flags"), F.array_join("recommended_actions", "|").alias("actions"))
+
+
 @query("t4_red_flags", """SELECT conv_id, turn, pos, issue, severity, rank FROM (SELECT conv_id, turn, unnest([0, 1]) AS pos, unnest(['Sale', 'Tracking']) AS issue,
     unnest(['low', 'critical']) AS severity, unnest([3, 0]) AS rank FROM conversations WHERE (conv_id + turn) % 4 = 0)""")
 def _(spark, path):

@@ -435,21 +435,41 @@ CTES = {
 def absolute(href: str, base: str, page: str) -> str:
     plain = f"regexp_replace({page}, '[?#].*$', '')"
     folder = f"nullif(regexp_extract({plain}, '^(https?://[^/]+(?:/.*)?/)[^/]*$', 1), '')"
-    return (f"CASE WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {href} WHEN starts_with({href}, '//') THEN "
-            f"regexp_extract({page}, '^([a-z]+:)', 1) || {href} WHEN starts_with({href}, '/') THEN {base} || {href} "
-            f"WHEN starts_with({href}, '?') THEN {plain} || {href} ELSE coalesce({folder}, {base} || '/') || {href} END")
+    whole = (f"CASE WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {href} WHEN starts_with({href}, '//') THEN "
+             f"regexp_extract({page}, '^([a-z]+:)', 1) || {href} WHEN starts_with({href}, '/') THEN {base} || {href} "
+             f"WHEN starts_with({href}, '?') THEN {plain} || {href} ELSE coalesce({folder}, {base} || '/') || {href} END")
+    path = f"regexp_extract({whole}, '^https?://[^/?#]*([^?#]*)', 1)"
+    # Segments from the left; ".." takes the last one kept away.
+    kept = (f"list_reduce(list_transform(string_split({path}, '/')[2:], lambda s: [s]), lambda a, s: CASE WHEN s[1] = '..' THEN a[1:len(a) - 1] "
+            f"WHEN s[1] = '.' THEN a ELSE list_concat(a, s) END, CAST([] AS VARCHAR[]))")
+    return (f"CASE WHEN regexp_matches({whole}, '^https?://[^?#]*/[.][.]?([/?#]|$)') THEN regexp_extract({whole}, '^(https?://[^/?#]*)', 1) || '/' || "
+            f"array_to_string({kept}, '/') || CASE WHEN regexp_matches({path}, '(^|/)[.][.]?$') AND len({kept}) > 0 THEN '/' ELSE '' END || "
+            f"regexp_extract({whole}, '^https?://[^?#]*([\\s\\S]*)$', 1) ELSE {whole} END")
 
 
 _SKIP = " AND ".join(f"NOT starts_with(href, {q(s)})" for s in discovery.SKIPPED_HREFS)
 CTES["lnk1"] = (f"SELECT *, {absolute('href', 'base', 'url')} AS \"full\" FROM §lnk0 WHERE href IS NOT NULL AND href <> '' AND {_SKIP}")
 CTES["lnk"] = ("""SELECT page_id, href, text, "full", row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, i FROM (SELECT *, row_number()
     OVER (PARTITION BY page_id, "full" ORDER BY i) AS nth FROM §lnk1) WHERE nth = 1""")
-_REGIONS = ", ".join(f"regexp_extract(clean, {q(disc.region(k, v))})" for k, v in discovery.LINK_REGIONS)
-CTES["reg0"] = f"""SELECT page_id, base, url, clean, [{_REGIONS}] AS gs FROM (SELECT page_id, base, url,
-    regexp_replace(html, {q(disc._CLEAN)}, '', 'g') AS clean FROM §pages)"""
+# Regions of a page: every tag with its number, the first that opens a region of each kind, the tag that closes it, and the markup between.
+CTES["rtags"] = f"""SELECT page_id, base, url, clean, regexp_extract_all(clean, {q(H.TAG)}) AS tags, string_split_regex(clean, {q(H.TAG)}) AS pieces
+    FROM (SELECT page_id, base, url, regexp_replace(html, {q(disc._CLEAN)}, '', 'g') AS clean FROM §pages)"""
+CTES["rtag"] = f"""SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, CASE WHEN starts_with(tag, '</') THEN -1
+    WHEN ends_with(tag, '/>') THEN 0 ELSE 1 END AS step FROM (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS i,
+    unnest(pieces[2:]) AS behind FROM §rtags)"""
+CTES["ropen"] = f"""SELECT page_id, g, min(i) AS i FROM (SELECT *, {attribute('tag', 'role')} AS role, {attribute('tag', 'id')} AS id,
+    ' ' || regexp_replace(coalesce({attribute('tag', 'class')}, ''), '\\s+', ' ', 'g') || ' ' AS words FROM §rtag WHERE NOT starts_with(tag, '</'))
+    JOIN (VALUES {', '.join(f"({g}, {q(k)}, {q(v)})" for g, (k, v) in enumerate(discovery.LINK_REGIONS))}) AS r(g, kind, wanted) ON CASE kind
+    WHEN 'tag' THEN name = wanted WHEN 'role' THEN role = wanted WHEN 'id' THEN id = wanted ELSE contains(words, ' ' || wanted || ' ') END
+    GROUP BY page_id, g"""
+CTES["rstop"] = """SELECT page_id, g, min(i) AS stop FROM (SELECT o.page_id, o.g, t.i, sum(CASE WHEN t.i = o.i THEN 1 ELSE t.step END) OVER (PARTITION BY o.page_id, o.g
+    ORDER BY t.i) AS depth FROM §ropen o JOIN §rtag s ON s.page_id = o.page_id AND s.i = o.i JOIN §rtag t ON t.page_id = o.page_id
+    AND t.name = s.name AND t.i >= o.i) WHERE depth = 0 GROUP BY ALL"""
+CTES["reg0"] = """SELECT o.page_id, o.g, string_agg(t.tag || t.behind, '' ORDER BY t.i) AS part FROM §ropen o LEFT JOIN §rstop s USING (page_id, g)
+    JOIN §rtag t ON t.page_id = o.page_id AND t.i >= o.i AND t.i < coalesce(s.stop, 1000000000) GROUP BY ALL"""
 CTES["reg1"] = f"""SELECT page_id, base, url, g, unnest(range(len(f))) AS i, unnest(f) AS a FROM (SELECT page_id, base, url, g,
-    regexp_extract_all(part, {q(disc._ANCHOR)}) AS f FROM (SELECT page_id, base, url, unnest(range(len(gs))) AS g, unnest(gs) AS part FROM §reg0
-    UNION ALL SELECT page_id, base, url, 99, clean FROM §reg0))"""
+    regexp_extract_all(part, {q(disc._ANCHOR)}) AS f FROM (SELECT page_id, base, url, g, part FROM §reg0 JOIN §rtags USING (page_id)
+    UNION ALL SELECT page_id, base, url, 99, clean FROM §rtags))"""
 CTES["reg2"] = f"""SELECT page_id, g, i, href, text, {absolute('href', 'base', 'url')} AS "full" FROM (SELECT *, {attribute('a', 'href')} AS href,
     {squeeze(unescape("regexp_replace(a, '<[^>]*>', ' ', 'g')"))} AS text FROM §reg1) WHERE href IS NOT NULL AND href <> '' AND {_SKIP}"""
 CTES["pref"] = """SELECT page_id, href, text, "full", row_number() OVER (PARTITION BY page_id ORDER BY g, i) - 1 AS pos FROM (SELECT *, row_number()

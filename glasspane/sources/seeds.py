@@ -90,6 +90,9 @@ FRAGMENTS = (
     '</script>',
     '<script>attribution-reporting("x");LR.identify("u");</script><img src="/own/pixel.png"><img width="1" height="0">',
     '<p>Cookie preferences by <b>usercentrics</b> and didomi.</p><a href="/about">About us</a>',
+    '<div class="wide  legal"><div><div>Inner</div><a href="/terms">Terms</a></div><a href="../../privacy-choices/./?x=1">Choices</a></div>'
+    '<div id="footer" title="a > b"><section><a href="/imprint">Imprint</a></section><a href="/a/../cookie-policy/..">Cookies</a></div>'
+    '<span class="Footer"><a href="/other">Other</a></span><ul role="navigation"><li><a href="/last">Last</a>',
 )
 
 # Set-Cookie headers per page, separated by line ends.

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from glasspane.functions import urls as U
 from glasspane.operators import discovery, extraction, trackers
 from glasspane.sources import dims
 
@@ -68,3 +71,23 @@ def test_many_links_on_one_page(homepages):
     began = time.time()
     assert discovery.links(pages).count() == 15000 and discovery.preferred_links(pages).count() == 15000
     assert time.time() - began < 20
+
+
+def test_regions_are_whole_elements(homepages):
+    """Links behind a nested element of the same kind, regions that are never closed, quoted ">" and words of a class."""
+    page = ('<a href="/first">First</a><div class="x legal"><div><div>Inner</div><a href="/a">A</a></div><a href="/b">B</a></div><a href="/out">Out</a>'
+            '<section id="footer" title="a > b"><section/><section><a href="/c">C</a></section><a href="/d">D</a></section>'
+            '<p class="illegal"><a href="/no">No</a></p><ul role="navigation"><li><a href="/e">E</a>')
+    got = {r["page_id"]: r["h"] for r in discovery.preferred_links(homepages(page, '<a href="/only">Only</a>', "", '<footer><a href="/f">F</a>')).groupBy("page_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "href"))).alias("h")).collect()}
+    assert [[x["href"] for x in got.get(i, [])] for i in range(4)] == [["/c", "/d", "/a", "/b", "/e"], ["/only"], [], ["/f"]]
+
+
+def test_addresses_are_resolved(values):
+    from urllib.parse import urljoin
+    page = "https://shop.example/a/b/page?x=1"
+    for href in ("../privacy", "../../../privacy", "./x", ".", "..", "/a/./b/../c/..", "/..", "?q=../x", "c/../../d?e=/../f#/../g", "x..y/.z"):
+        got, = values(U.absolute("x", "'https://shop.example'", f"'{page}'"), href)
+        assert got == urljoin(page, href), href
+    assert values(U.absolute("x", "'https://shop.example'", f"'{page}'"), "//h.example/a/../b", "https://h.example/./c?a=/../b") == [
+        "https://h.example/b", "https://h.example/c?a=/../b"]

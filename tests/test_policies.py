@@ -169,3 +169,24 @@ def test_many_periods_in_one_policy(policies):
     docs = policies(" ".join(f"We keep data for {i % 900 + 1} days." for i in range(5000)))
     began = time.time()
     assert retention.items(docs).count() > 800 and time.time() - began < 30
+
+
+def test_wide_spaces_part_words_of_sentences(values):
+    from glasspane.operators import wording
+    text = "One\u00a0two\u2003three. Four\u3000five! \u00a0 ?"
+    got, = values(wording.sentence_length("x"), text)
+    parts = [p.strip() for p in __import__("re").split(r"[.!?]+", text) if p.strip()]
+    assert got == sum(len(p.split()) for p in parts) / len(parts) == 2.5
+
+
+def test_unreadable_answers_fall_back(spark):
+    from glasspane.operators import context
+    rows = [(1, '{"tldr": "fine", "red_flags": [{"issue": "x"}]}'), (1, "no json"), (2, None), (9, '{"tldr": "cut'), (None, '```json\n{"data_story": "d"}\n```')]
+    sites = spark.createDataFrame([(1, "a.example", "B", 71), (2, "b.example", "F", 5)], "site_id long, domain string, grade string, overall int")
+    got = context.analyses(spark.createDataFrame(rows, "site_id long, response string"), sites).collect()
+    by = {(r["site_id"], r["response"]): r for r in got}
+    assert len(got) == 5 and [by[k]["ai_available"] for k in rows] == [True, False, False, False, True]
+    assert by[rows[0]]["tldr"] == "fine" and by[rows[0]]["data_story"] == "" and by[rows[0]]["red_flags"][0]["issue"] == "x" and by[rows[0]]["headline_risks"] == []
+    assert by[rows[1]]["plain_summary"] == "a.example has a privacy grade of B (71/100)." and by[rows[1]]["headline_risks"] == ["AI analysis unavailable"]
+    assert by[rows[2]]["ai_score_commentary"] == "Score of 5/100 based on automated analysis only." and by[rows[2]]["red_flags"] == []
+    assert by[rows[3]]["tldr"] is None and by[rows[3]]["data_story"] == "AI analysis unavailable." and by[rows[4]]["data_story"] == "d"
