@@ -404,9 +404,10 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) and agrees of each text, by the model file at `path` (on the driver)."""
+def encode(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) and agrees of each text, by the model file at `path` (on the driver); with `back` also decoded: what the ids decode to."""
     model = model_bytes(path)
+    schema = IDS.append(pa.field("decoded", pa.string())) if back else IDS
 
     def work(bodies, rows):
         v = vocabulary(model)
@@ -421,9 +422,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         else:
             equal = np.array([a.tolist() == b for a, b in zip(np.split(ids, ends[:-1]), same)])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-        return {"doc_id": rows.column("doc_id"), "ids": lists, "agrees": equal}
+        out = {"doc_id": rows.column("doc_id"), "ids": lists}
+        if back:
+            out["decoded"] = v.texts(ids, ends)
+            twin = v.library.decode(same if equal.all() else [x.tolist() for x in np.split(ids, ends[:-1])], num_threads=1)
+            equal = equal & np.array([a == b for a, b in zip(out["decoded"], twin)], bool)
+        return {**out, "agrees": equal}
     rows = C.texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(C.by_block(work, IDS), "doc_id long, ids array<int>, agrees boolean")
+    return rows.mapInArrow(C.by_block(work, schema), "doc_id long, ids array<int>, agrees boolean" + ", decoded string" * back)
 
 
 def decode(encoded: DataFrame, path: str, *more: Column) -> DataFrame:

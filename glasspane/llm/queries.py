@@ -85,13 +85,10 @@ def piece_model() -> str:
 
 
 def piece_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of every text and what they decode to; `agrees` where the library gives the same ids."""
-    model = piece_model()
-    coded = pieces.encode(read(spark, path, "documents"), model)
-    listing = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return pieces.decode(coded, model, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listing, 256).alias("ids_sha256"),
-                         F.col("agrees").alias("ids_agree")).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), (F.col("ids_agree") & F.col("agrees")).alias("agrees"))
+    """Ids of every text and what they decode to; `agrees` where the library gives the same ids and text."""
+    coded = pieces.encode(read(spark, path, "documents"), piece_model(), back=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
 def draw_like_benchmark(spark: SparkSession, path: str) -> DataFrame:
