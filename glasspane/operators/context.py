@@ -81,14 +81,19 @@ def chat(scored: DataFrame) -> DataFrame:
     return scored.withColumn("context", F.expr(f"array_join(array({', '.join(lines)}), '\\n')"))
 
 
+def json_object(response: str, kind: str) -> str:
+    """A stored model answer read as a JSON object, code fences dropped; null where it is none.
+
+    A permissive reader fills a cut-off document with what it found, so only a whole one counts.
+    """
+    fences, ends = T.quote("```(?:json)?"), T.quote(r"^\s+|\s+$")
+    clean = f"regexp_replace(regexp_replace({response}, {fences}, ''), {ends}, '')"
+    return f"if(startswith({clean}, '{{') AND endswith({clean}, '}}'), from_json({clean}, '{kind}', map('mode', 'PERMISSIVE')), NULL)"
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Adds `answer` and `ai_available`: stored model answers read as JSON, code fences dropped."""
-    fences, ends = T.quote("```(?:json)?"), T.quote(r"^\s+|\s+$")
-    clean = f"regexp_replace(regexp_replace(response, {fences}, ''), {ends}, '')"
-    # A permissive reader fills a cut-off document with what it found, so only a whole one counts.
-    whole = f"(startswith({clean}, '{{') AND endswith({clean}, '}}'))"
-    read = F.expr(f"if({whole}, from_json({clean}, '{ANSWER}', map('mode', 'PERMISSIVE')), NULL)")
-    return answers.withColumn("answer", read).withColumn("ai_available", F.col("answer").isNotNull())
+    return answers.withColumn("answer", F.expr(json_object("response", ANSWER))).withColumn("ai_available", F.col("answer").isNotNull())
 
 
 def analyses(answers: DataFrame, sites: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _anchors(html: str, base: str, url: str) -> str:
 def links(pages: DataFrame) -> DataFrame:
     """Distinct links of each page in order of first appearance: page_id, pos, href, text, full."""
     bound = T.struct(h="html", b="base", u="url")
-    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.distinct_by(_anchors(f"{r}.h", f"{r}.b", f"{r}.u"), "full"))).alias("ls"))
+    found = pages.select(key, F.expr(T.let(bound, lambda r: T.distinct_by(_anchors(f"{r}.h", f"{r}.b", f"{r}.u"), "full"))).alias("ls"))
     found = found.selectExpr("page_id", "transform(ls, (x, i) -> named_struct('pos', i, 'l', x)) AS ls")
     return T.explode_rows(found, "ls", "l").select("page_id", "l.pos", "l.l.*")
 
@@ -67,7 +67,7 @@ def preferred_links(pages: DataFrame) -> DataFrame:
         return T.let(T.let(H.tags(clean), inside), lambda ls: f"if(size({ls}) > 0, {ls}, {_anchors(clean, base, url)})")
 
     bound = T.struct(h=f"regexp_replace(html, {T.quote(_CLEAN)}, '')", b="base", u="url")
-    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.distinct_by(ranked(f"{r}.h", f"{r}.b", f"{r}.u"), "href"))).alias("ls"))
+    found = pages.select(key, F.expr(T.let(bound, lambda r: T.distinct_by(ranked(f"{r}.h", f"{r}.b", f"{r}.u"), "href"))).alias("ls"))
     found = found.selectExpr("page_id", "transform(ls, (x, i) -> named_struct('pos', i, 'l', x)) AS ls")
     return T.explode_rows(found, "ls", "l").select("page_id", "l.pos", "l.l.*")
 
@@ -175,11 +175,11 @@ def choose(pages: DataFrame, stored: DataFrame, robots: DataFrame, sitemaps: Dat
                           F.struct(rank, "ord")).alias("b")).select("page_id", "b.*"))
 
 
-def label_links(pages: DataFrame, words: dict, labels) -> DataFrame:
+def label_links(pages: DataFrame, words: dict, labels, key: str = "page_id") -> DataFrame:
     """Documentation pages of a company: the first link per label, where a link serves its first free label.
 
     One pass over the links of a page in order: a link takes the first label that it names and that no earlier link
-    has taken.
+    has taken. Rows carry the page's column `key`.
     """
     def named(text: str, href: str) -> str:
         return T.strings("if(" + T.either(f"contains({href}, {T.quote(w)}) OR contains({text}, {T.quote(w)})"
@@ -190,7 +190,7 @@ def label_links(pages: DataFrame, words: dict, labels) -> DataFrame:
     taken = (f"aggregate(ls, {empty}, (acc, l) -> concat(acc, coalesce(transform(slice(filter("
              f"{named('lower(l.text)', 'lower(l.href)')}, k -> NOT exists(acc, a -> a.label = k)), 1, 1), "
              f"k -> named_struct('label', k, 'url', l.full)), {empty})))")
-    found = pages.select("page_id", F.expr(T.let(bound, lambda r: T.let(
+    found = pages.select(key, F.expr(T.let(bound, lambda r: T.let(
         _anchors(f"{r}.h", f"{r}.b", f"{r}.u"), lambda ls: f"filter({ls}, l -> startswith(l.full, 'http'))")))
-        .alias("ls")).select("page_id", F.expr(taken).alias("ks"))
-    return T.explode_rows(found, "ks", "k").select("page_id", "k.label", "k.url")
+        .alias("ls")).select(key, F.expr(taken).alias("ks"))
+    return T.explode_rows(found, "ks", "k").select(key, "k.label", "k.url")

@@ -24,9 +24,9 @@ from ..rules import rights as right_rules
 from ..rules import trackers as tracker_rules
 from ..rules import trust as trust_rules
 from ..rules import wording as word_rules
-from ..sources import dims, tables
+from ..sources import dims, seeds, store, tables
 from ..streaming import feeds
-from .duck import absolute, any_of, attribute, case_of, count_of, gone, host, lines, likely, norm, q, snippet, sql, url_signal
+from .duck import absolute, any_of, attribute, case_of, count_of, gone, host, lines, likely, norm, pick, q, snippet, sql, url_signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -142,6 +142,16 @@ def _(spark, path):
     return _rule_totals(spark, path, ("gdpr_right", "ccpa_right", "dark_pattern", "retention_event"))
 
 
+@query("s5_saved_results", """SELECT result_id, domain, overall_score, grade, CAST(analyzed_date AS VARCHAR) AS analyzed_date, CASE WHEN result_id % 3 = 0 THEN 'morning'
+    ELSE 'evening' END AS run FROM (SELECT *, CAST(analyzed_at AS DATE) AS analyzed_date FROM §result) WHERE analyzed_date >= DATE '2024-01-02'""")
+def _(spark, path):
+    results, folder = store.kept(_results(spark, path), "results"), store.shared(spark, "saved")
+    for run in ("morning", "evening", "morning"):  # a repeated run changes nothing
+        store.save_results(results.where((F.col("result_id") % 3 == 0) == F.lit(run == "morning")), folder, run)
+    return store.read_results(spark, folder, since="2024-01-02").select(
+        "result_id", "domain", "overall_score", "grade", F.col("analyzed_date").cast("string").alias("analyzed_date"), "run")
+
+
 @query("s6_label_document", """SELECT s.doc_id, domain, policy_found, overall AS overall_score, grade, risk_level, data_collection_score AS data_collection,
     sharing_score AS sharing, transparency_dim AS transparency, rights_score AS rights_points, retention_score AS retention_points, dark_patterns_score AS dark_patterns,
     technical_score AS technical, state = 'full' AS has_analysis, tracked AS has_trackers, CASE WHEN state = 'full' THEN coalesce(p.names, '') END AS parties,
@@ -918,62 +928,102 @@ def _(spark, path):
     return _queue(spark, path)
 
 
+def _kept_queue(spark, path):
+    """The queue as a table: names are counted, looked up and joined, but no text is searched again for that."""
+    return store.kept(_queue(spark, path), "party_queue")
+
+
 def _company_pages(spark, path):
     """Pages that companies show on their own sites, as found by their links."""
-    return discovery.label_links(_pages(spark, path), trust_rules.LABEL_WORDS, trust_rules.PAGE_LABELS).select(
-        F.expr("concat('acme widgets gmbh', if(page_id % 2 = 0, '', ' x'))").alias("company_lc"), "label", "url").groupBy(
-        "company_lc", "label").agg(F.min("url").alias("url"))
+    pages = tables.company_pages(spark, path)
+    return discovery.label_links(pages, trust_rules.LABEL_WORDS, trust_rules.PAGE_LABELS, "company_domain").groupBy(
+        "company_domain", "label").agg(F.min("url").alias("url"))
 
 
 _REG = ", ".join("(" + ", ".join(q(v) for v in r) + ")" for r in dims.company_page_rows())
-_DISC = f"""SELECT 'acme widgets gmbh' || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' x' END AS company_lc, label, min(url) AS url FROM ({_label_sql()}) GROUP BY ALL"""
+_OWN = len(seeds.COMPANY_DOMAINS) + 1
+_DISC = f"""SELECT CASE WHEN page_id % {_OWN} < {_OWN - 1} THEN {pick((*seeds.COMPANY_DOMAINS, ''), 'page_id')} ELSE domain END AS company_domain, label, min(l.url) AS url
+    FROM ({_label_sql()}) l JOIN §pages USING (page_id) GROUP BY ALL"""
+_GUESS = "CASE WHEN contains(name_lc, '.') THEN trim(name_lc) ELSE replace(replace(name_lc, ' ', ''), ',', '') || '.com' END"
 _PAGES = f"""SELECT site_id, pos, name, label, url, 'registry' AS origin FROM ({_QUEUE}) q JOIN (VALUES {_REG}) AS g(company_lc, label, url) ON q.name_lc =
-    g.company_lc WHERE pos <= 12 UNION ALL SELECT site_id, pos, name, d.label, d.url, 'discovered' FROM ({_QUEUE}) q JOIN ({_DISC}) d ON q.name_lc = d.company_lc
+    g.company_lc WHERE pos <= 12 UNION ALL SELECT site_id, pos, name, d.label, d.url, 'discovered' FROM ({_QUEUE}) q JOIN ({_DISC}) d ON {_GUESS} = d.company_domain
     WHERE pos <= 12 AND q.name_lc NOT IN (SELECT company_lc FROM (VALUES {_REG}) AS g(company_lc, label, url))"""
 
 
 @query("j6_party_pages", f"SELECT site_id, pos, name, label, url, origin FROM ({_PAGES})")
 def _(spark, path):
-    return parties.with_pages(_queue(spark, path), dims.company_page_table(spark), _company_pages(spark, path))
+    return parties.with_pages(_kept_queue(spark, path), dims.company_page_table(spark), _company_pages(spark, path))
 
 
 _REGISTERED = sorted({url for _, label, url in dims.company_page_rows() if label in trust_rules.PAGE_LABELS})
+_COMPANIES = sorted({*trust_rules.COMPANY_PAGES, "acme widgets gmbh", "blue river ltd"})
+
+
+def _researched(spark, path, queue):
+    return parties.research(queue, dims.company_page_table(spark), _company_pages(spark, path), tables.company_fetches(spark, path, _REGISTERED),
+                            tables.party_answers(spark, path, _COMPANIES))
 
 
 def _dossiers(spark, path):
-    queue = _queue(spark, path)
-    found = parties.with_pages(queue, dims.company_page_table(spark), _company_pages(spark, path))
-    # Stored texts of documentation pages: every document is a fetch of one page of the registry, the newest one counts.
-    docs = tables.read(spark, path, "documents").select("doc_id", "text")
-    newest = docs.select("doc_id", tables.pick(_REGISTERED, F.col("doc_id")).alias("url")).groupBy("url").agg(F.max("doc_id").alias("doc_id"))
-    return parties.dossiers(queue, found, newest.join(docs, "doc_id").select("url", "text"))
+    queue = _kept_queue(spark, path)
+    return parties.dossiers(queue, _researched(spark, path, queue))
 
 
-_DOSS = f"""SELECT u.site_id, u.pos, u.name, u.category, coalesce(p.n, 0) AS pages_found, coalesce(p.r, 0) AS pages_read, coalesce(p.chars, 0) AS text_chars, coalesce(p.context, '') AS context,
-    coalesce(e.cert, '') AS certifications, coalesce(e.opt, u.opt_out) AS opt_out_url, CASE WHEN coalesce(p.r, 0) = 0 THEN 30 ELSE 40 END AS trust_score_ai
+def _party_case(field: str, answered: str) -> str:
+    given = " ".join(f"WHEN {q(k)} THEN {q(v[field])}" for k, v in answer_rules.PARTY.items() if k != "answered")
+    return f"CASE research {given} ELSE coalesce({answered}, {q(answer_rules.PARTY['answered'][field])}) END"
+
+
+def _party_list(field: str) -> str:
+    read = f"CASE WHEN research = 'answered' THEN coalesce(from_json(json_extract(j, '$.{field}'), '[\"VARCHAR\"]'), []) ELSE [] END"
+    return f"CASE WHEN research = 'unread' THEN {q([answer_rules.PARTY_UNREAD_FLAG])} ELSE {read} END" if field == "risk_flags" else read
+
+
+# One row per site and party; the check works out every party by itself, without dossiers of companies.
+_DOSS = f"""SELECT site_id, pos, name, name_lc, category, pages_found, pages_read, context, research, opt_out_url,
+    CASE research WHEN 'unread' THEN 'No pages could be fetched for ' || name || '.' WHEN 'unclear' THEN response[1:300] WHEN 'silent' THEN 'AI analysis unavailable.'
+    ELSE coalesce(json_extract_string(j, '$.summary'), '') END AS summary, {_party_case('gdpr_role', "json_extract_string(j, '$.gdpr_role')")} AS gdpr_role,
+    {_party_case('retention_claimed', "json_extract_string(j, '$.retention_claimed')")} AS retention_claimed,
+    {_party_case('trust_score_ai', "CAST(json_extract_string(j, '$.trust_score_ai') AS INTEGER)")} AS trust_score_ai,
+    {', '.join(f"{_party_list(f)} AS {f}" for f in parties.PARTY_LISTS if f != 'certifications')},
+    list_concat({_party_list('certifications')}, CASE WHEN cert <> '' THEN [cert] ELSE [] END) AS certifications
+    FROM (SELECT *, CASE WHEN pages_read = 0 THEN 'unread' WHEN coalesce(response, '') = '' THEN 'silent' WHEN clean IS NULL THEN 'unclear' ELSE 'answered' END AS research,
+    CAST(clean AS JSON) AS j
+    FROM (SELECT u.site_id, u.pos, u.name, u.name_lc, u.category, coalesce(p.n, 0) AS pages_found, coalesce(p.r, 0) AS pages_read, coalesce(p.context, '') AS context,
+    e.cert, coalesce(e.opt, u.opt_out) AS opt_out_url, a.response,
+    CASE WHEN json_valid(regexp_replace(a.response, '```(json)?', '', 'g')) THEN regexp_replace(a.response, '```(json)?', '', 'g') END AS clean
     FROM (SELECT * FROM ({_QUEUE}) WHERE pos <= 12) u LEFT JOIN (SELECT site_id, pos, count(*) AS n, count(t.text) FILTER (WHERE t.text <> '') AS r,
-    CAST(sum(length(t.text[1:2000])) AS BIGINT) AS chars, string_agg('=== ' || upper(label) || ' PAGE (' || url || ') ===' || chr(10) || t.text[1:2000],
+    string_agg('=== ' || upper(label) || ' PAGE (' || url || ') ===' || chr(10) || t.text[1:2000],
     chr(10) || chr(10) ORDER BY {case_of('label', {k: i for i, k in enumerate(trust_rules.PAGE_LABELS)})}, url) FILTER (WHERE t.text <> '') AS context FROM ({_PAGES}) g LEFT JOIN (SELECT ({q(_REGISTERED)})[CAST(doc_id %
     {len(_REGISTERED)} AS INTEGER) + 1] AS url, arg_max(text, doc_id) AS text FROM documents GROUP BY 1) t USING (url) WHERE label IN ('privacy', 'security', 'dpa') GROUP BY ALL) p USING (site_id, pos) LEFT JOIN (SELECT site_id, pos, max(CASE WHEN label =
-    'certifications' THEN url END) AS cert, max(CASE WHEN label = 'opt_out' THEN url END) AS opt FROM ({_PAGES}) GROUP BY ALL) e USING (site_id, pos)"""
+    'certifications' THEN url END) AS cert, max(CASE WHEN label = 'opt_out' THEN url END) AS opt FROM ({_PAGES}) GROUP BY ALL) e USING (site_id, pos)
+    LEFT JOIN (SELECT {pick(_COMPANIES, 'conv_id')} AS name_lc, arg_max({pick(seeds.PARTY_ANSWERS, '(conv_id + turn)')}, conv_id * 100000 + turn) AS response FROM conversations
+    GROUP BY 1) a USING (name_lc)))"""
+_DOSS_LISTS = ", ".join(f"array_to_string({f}, '|') AS {f}" for f in parties.PARTY_LISTS)
+
+
+@query("l4_dossiers", f"""SELECT site_id, pos, name, category, research, pages_found, pages_read, opt_out_url, summary, gdpr_role, retention_claimed, trust_score_ai,
+    {_DOSS_LISTS} FROM ({_DOSS})""")
+def _(spark, path):
+    return _dossiers(spark, path).withColumns({c: F.array_join(c, "|") for c in parties.PARTY_LISTS})
 
 
-@query("l4_dossiers", f"""SELECT site_id, pos, name, category, pages_found, pages_read, context, certifications, opt_out_url, CASE WHEN pages_read = 0 THEN
-    'No pages could be fetched for ' || name || '.' END AS summary, CASE WHEN pages_read = 0 THEN 'No documentation accessible' END AS risk_flag, trust_score_ai,
-    'Unknown' AS gdpr_role FROM ({_DOSS})""")
+@query("l4_company_contexts", f"SELECT name_lc, research, pages_read, context FROM ({_DOSS}) GROUP BY ALL")
 def _(spark, path):
-    return _dossiers(spark, path)
+    return _researched(spark, path, _kept_queue(spark, path)).select("name_lc", "research", "pages_read", "context")
 
 
 @query("a27_ecosystem", f"""SELECT site_id, count(*) AS parties, CAST(round(avg(trust_score_ai)) AS INTEGER) AS mean_trust, count(*) FILTER (WHERE
-    pages_read = 0) AS with_risk_flags, arg_min(name, trust_score_ai * 100 + pos) AS highest_risk_party FROM ({_DOSS}) GROUP BY site_id""")
+    len(risk_flags) > 0) AS with_risk_flags, arg_min(name, trust_score_ai * 100 + pos) AS highest_risk_party FROM ({_DOSS}) GROUP BY site_id""")
 def _(spark, path):
     return parties.ecosystem(_dossiers(spark, path))
 
 
 @query("a30_actions", f"""SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY k) - 1 AS pos, action FROM (SELECT site_id, pos AS k, 'Opt out of ' || name ||
-    ' tracking: ' || opt_out_url AS action FROM ({_DOSS}) WHERE opt_out_url IS NOT NULL UNION ALL SELECT site_id, 100, {q(parties.MANY)} FROM ({_DOSS})
-    GROUP BY site_id HAVING count(*) > 5 UNION ALL SELECT DISTINCT site_id, 101, {q(parties.REVIEW)} FROM ({_DOSS})) QUALIFY pos < 8""")
+    ' tracking: ' || opt_out_url AS action FROM ({_DOSS}) WHERE opt_out_url IS NOT NULL UNION ALL SELECT DISTINCT site_id, 98, {q(parties.SAR)} FROM ({_DOSS}) WHERE gdpr_role =
+    'Controller' UNION ALL SELECT DISTINCT site_id, 99, {q(parties.BLOCK)} FROM ({_DOSS}) WHERE contains(lower(array_to_string(risk_flags, ' ')), 'fingerprint')
+    UNION ALL SELECT site_id, 100, {q(parties.MANY)} FROM ({_DOSS}) GROUP BY site_id HAVING count(*) > 5 UNION ALL
+    SELECT DISTINCT site_id, 101, {q(parties.REVIEW)} FROM ({_DOSS})) QUALIFY pos < 8""")
 def _(spark, path):
     return parties.actions(_dossiers(spark, path))
 

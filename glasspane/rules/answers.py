@@ -10,3 +10,14 @@ FALLBACK = {
     "ai_score_commentary": "Score of {score}/100 based on automated analysis only.",
 }
 FALLBACK_RISKS = ("AI analysis unavailable",)
+
+# What a company's dossier says where no page was read, where no answer came, where the answer is no JSON object (its start is the
+# summary then), and where an answer lacks a field.
+PARTY = {
+    "unread": {"summary": None, "gdpr_role": "Unknown", "retention_claimed": "Not stated", "trust_score_ai": 30},
+    "silent": {"summary": "AI analysis unavailable.", "gdpr_role": "Unknown", "retention_claimed": "Unknown", "trust_score_ai": 40},
+    "unclear": {"summary": None, "gdpr_role": "Unknown", "retention_claimed": "Unknown", "trust_score_ai": 40},
+    "answered": {"summary": "", "gdpr_role": "Unknown", "retention_claimed": "Not stated", "trust_score_ai": 40},
+}
+PARTY_UNREAD_FLAG = "No documentation accessible"
+PARTY_SUMMARY_CHARS = 300

@@ -127,3 +127,17 @@ ANSWERS = (
     "Sorry, I cannot answer that.",
     '```\n{"tldr": "cut off", "headline_risks": ["x"]',
 )
+
+# Domains of the companies whose sites some test pages are.
+COMPANY_DOMAINS = ("acmewidgetsgmbh.com", "blueriverltd.com", "stripeinc.com")
+
+# Stored answers about companies, by the number of the turn.
+PARTY_ANSWERS = (
+    '```json\n{"summary": "Sells profiles.", "gdpr_role": "Controller", "risk_flags": ["Device fingerprinting", "No end date"], "trust_score_ai": 25, '
+    '"certifications": ["SOC 2"], "data_location": ["US", "EU"], "data_shared_with": ["Blue River Ltd"]}\n```',
+    '{"summary": "Careful.", "gdpr_role": "Processor", "risk_flags": [], "trust_score_ai": 85, "retention_claimed": "30 days", "data_collected": ["email"], '
+    '"positive_signals": ["Audited"]}',
+    "Sorry, this company is not known to me.",
+    "",
+    '{"summary": "Little is said.", "risk_flags": ["Vague terms"]}',
+)

@@ -1,16 +1,41 @@
-"""Tables that jobs append to."""
+"""Tables that jobs write to."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save_results(scored: DataFrame, path: str) -> None:
-    """Appends scored sites with their documents, by day of analysis."""
-    scored.withColumn("analyzed_date", F.to_date("analyzed_at")).write.mode("append").partitionBy(
-        "analyzed_date").parquet(path)
+def save_results(scored: DataFrame, path: str, run: str | None = None) -> None:
+    """Stores scored sites with their documents, by day of analysis and run.
+
+    A run that is repeated, whole or after a failure, replaces its own days and nothing else, so no result is stored twice; runs of other
+    names, and each run without a name, add to the same days. Rows without analyzed_at are kept under a day of their own.
+    """
+    run = run or uuid.uuid4().hex
+    scored.withColumns({"analyzed_date": F.to_date("analyzed_at"), "run": F.lit(run)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("analyzed_date", "run").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Stored results; with bounds (days, both included) only the folders of those days are listed and read."""
+    out = spark.read.parquet(path)
+    for day, test in ((since, ">="), (until, "<=")):
+        if day is not None:
+            out = out.where(f"analyzed_date {test} DATE '{day}'")
+    return out
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir; where that is unset, in the warehouse)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read from there: for small tables that several later steps read."""
+    path = shared(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

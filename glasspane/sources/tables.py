@@ -111,3 +111,22 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
     """Stored model answers: conv_id, turn, response."""
     return read(spark, path, "conversations").select(
         "conv_id", "turn", pick(S.ANSWERS, F.col("conv_id") + F.col("turn")).alias("response"))
+
+
+def company_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Stored pages of company sites: homepages with company_domain, the domain of the company or else of the page."""
+    n = len(S.COMPANY_DOMAINS) + 1
+    own = F.when(F.col("page_id") % n < n - 1, pick((*S.COMPANY_DOMAINS, ""), F.col("page_id"))).otherwise(F.col("domain"))
+    return homepages(spark, path).withColumn("company_domain", own)
+
+
+def company_fetches(spark: SparkSession, path: str, urls) -> DataFrame:
+    """Stored texts of documentation pages: every document is a fetch of one of the addresses (url, at, text)."""
+    return read(spark, path, "documents").select(pick(urls, F.col("doc_id")).alias("url"), F.col("doc_id").alias("at"), "text")
+
+
+def party_answers(spark: SparkSession, path: str, names) -> DataFrame:
+    """Stored answers about companies: name_lc, at, response."""
+    return read(spark, path, "conversations").select(
+        pick(names, F.col("conv_id")).alias("name_lc"), F.struct("conv_id", "turn").alias("at"),
+        pick(S.PARTY_ANSWERS, F.col("conv_id") + F.col("turn")).alias("response"))
