@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rules import answers as A
+from ..rules import scoring as S
 
 ANSWER = ("struct<tldr:string,plain_summary:string,headline_risks:array<string>,red_flags:array<struct<issue:string,"
           "evidence:string,severity:string,action:string>>,positive_findings:array<string>,compliance_gaps:"
@@ -127,13 +128,24 @@ def red_flags(parsed: DataFrame) -> DataFrame:
         "rank", "conv_id", "turn", "pos")
 
 
-def label_json(scored: DataFrame) -> DataFrame:
-    """One JSON document per site; every part is named, one that is missing is null."""
+CRAWL = {"url": "string", "policy_url": "string", "policy_word_count": "int", "policy_discovery_method": "string"}
+
+
+def label_json(scored: DataFrame, crawl: DataFrame | None = None) -> DataFrame:
+    """One JSON document per site; every part is named, one that is missing is null.
+
+    crawl: doc_id, url, policy_url, policy_word_count, policy_discovery_method, one row per site; sites without a row have nulls there.
+    """
+    fetched = list(CRAWL)
+    if crawl is None:
+        scored = scored.withColumn("crawl", F.struct(*[F.lit(None).cast(t).alias(c) for c, t in CRAWL.items()]))
+    else:
+        scored = scored.join(crawl.select("doc_id", F.struct(*[F.col(c).cast(t).alias(c) for c, t in CRAWL.items()]).alias("crawl")), "doc_id", "left")
+    weights = F.struct(*[F.lit(w).alias(d) for d, w in S.WEIGHTS]).alias("weights")
     body = F.struct(
-        "domain", "policy_found", F.col("overall").alias("overall_score"), "grade", "risk_level", "summary",
-        F.struct(*[F.col(f"{d}_score").alias(d) for d in ("data_collection", "sharing", "transparency", "rights",
-                                                          "retention", "dark_patterns", "technical")])
-        .alias("score_breakdown"), "penalties", "bonuses",
+        F.col("crawl.url").alias("url"), "domain", "policy_found", *[F.col(f"crawl.{c}").alias(c) for c in fetched[1:]],
+        F.col("overall").alias("overall_score"), "grade", "risk_level", "summary",
+        F.struct(*[F.col(f"{d}_score").alias(d) for d, _ in S.WEIGHTS], weights).alias("score_breakdown"), "penalties", "bonuses",
         *[F.when(F.col("state") == "full", F.col(c)).alias(c) for c in ("data_types", "retention", "wording",
                                                                         "dark_patterns", "rights", "sharing")],
         F.col("tracking").alias("trackers"))

@@ -37,11 +37,38 @@ def top_categories(found: DataFrame, n: int = 6) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+GRADES = "ABCDF"
+
+
 def fleet(scored: DataFrame, *keys: str) -> DataFrame:
-    """Mean score and share of good grades at every level of a hierarchy of keys (our extension)."""
+    """Mean score and share of every grade at every level of a hierarchy of keys (our extension)."""
+    def share(*grades: str):
+        return F.round(F.avg(F.col("grade").isin(*grades).cast("double")), 4)
+
     return scored.rollup(*keys).agg(
-        F.count("*").alias("sites"), F.round(F.avg("overall"), 4).alias("mean_score"),
-        F.round(F.avg(F.col("grade").isin("A", "B").cast("double")), 4).alias("good_share"))
+        F.count("*").alias("sites"), F.round(F.avg("overall"), 4).alias("mean_score"), share("A", "B").alias("good_share"),
+        *[share(g).alias(f"share_{g.lower()}") for g in GRADES])
+
+
+def fleet_common(scored: DataFrame, *keys: str, n: int = 3) -> DataFrame:
+    """The n most common data categories and dark patterns at every level of a hierarchy of keys (our extension).
+
+    `level` counts the keys that are set, so that a key that is null differs from a total. Sites are counted once per name at the lowest level,
+    with partial sums before the only shuffle of their size; higher levels add up these counts. Names come from rule tables, so the names of
+    one level and group that are ranked together are few. Ties go to the smaller name.
+    """
+    def names(kind: str, items: str) -> str:
+        return f"transform(array_distinct(transform({items}, x -> x.name)), x -> struct('{kind}' AS kind, x AS name))"
+
+    read = scored.where("state = 'full'")
+    found = F.expr(f"concat(coalesce({names('category', 'data_types')}, array()), coalesce({names('dark_pattern', 'dark_patterns.detected')}, array()))")
+    rows = T.explode_rows(read.select(*keys, found.alias("fs")), "fs", "f").select(*keys, "f.kind", "f.name")
+    lowest = rows.groupBy(*keys, "kind", "name").agg(F.count("*").alias("n"))
+    levels = [[*keys[:i], "kind", "name"] for i in range(len(keys) + 1)]
+    depth = sum((1 - F.grouping(k).cast("int") for k in keys), F.lit(0))
+    sums = lowest.groupingSets(levels, *keys, "kind", "name").agg(depth.alias("level"), F.sum("n").alias("sites"))
+    w = W.partitionBy("level", *keys, "kind").orderBy(F.desc("sites"), "name")
+    return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("level", *keys, "kind", "rank", "name", "sites")
 
 
 def reach(found: DataFrame) -> DataFrame:

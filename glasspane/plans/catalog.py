@@ -21,6 +21,7 @@ from ..rules import pages as page_rules
 from ..rules import recipients as party_rules
 from ..rules import retention as ret_rules
 from ..rules import rights as right_rules
+from ..rules import scoring as score_rules
 from ..rules import trackers as tracker_rules
 from ..rules import trust as trust_rules
 from ..rules import wording as word_rules
@@ -152,26 +153,6 @@ def _(spark, path):
         "result_id", "domain", "overall_score", "grade", F.col("analyzed_date").cast("string").alias("analyzed_date"), "run")
 
 
-@query("s6_label_document", """SELECT s.doc_id, domain, policy_found, overall AS overall_score, grade, risk_level, data_collection_score AS data_collection,
-    sharing_score AS sharing, transparency_dim AS transparency, rights_score AS rights_points, retention_score AS retention_points, dark_patterns_score AS dark_patterns,
-    technical_score AS technical, state = 'full' AS has_analysis, tracked AS has_trackers, CASE WHEN state = 'full' THEN coalesce(p.names, '') END AS parties,
-    coalesce(l.reasons, '') AS penalties, coalesce(g.reasons, '') AS bonuses FROM §scored s LEFT JOIN (SELECT doc_id, string_agg(name || ' ' || trust_score, '|'
-    ORDER BY trust_score, name) AS names FROM §party GROUP BY doc_id) p USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(reason, '|' ORDER BY pos) AS reasons
-    FROM §lose GROUP BY doc_id) l USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(reason, '|' ORDER BY pos) AS reasons FROM §gain GROUP BY doc_id) g USING (doc_id)""")
-def _(spark, path):
-    entries = "array<struct<reason:string>>"
-    body = ("domain string, policy_found boolean, overall_score int, grade string, risk_level string, score_breakdown struct<data_collection:int,sharing:int,"
-            "transparency:int,rights:int,retention:int,dark_patterns:int,technical:int>, rights struct<gdpr_score:int>, trackers struct<total_tracker_count:int>, "
-            f"sharing struct<parties:array<struct<name:string,trust_score:int>>>, penalties {entries}, bonuses {entries}")
-    docs = context.label_json(_scored(spark, path)).withColumn("j", F.from_json("result_json", body))
-    b = "j.score_breakdown."
-    return docs.select("doc_id", "j.domain", "j.policy_found", "j.overall_score", "j.grade", "j.risk_level", b + "data_collection", b + "sharing", b + "transparency",
-                       F.col(b + "rights").alias("rights_points"), F.col(b + "retention").alias("retention_points"), b + "dark_patterns", b + "technical",
-                       F.col("j.rights").isNotNull().alias("has_analysis"), F.col("j.trackers").isNotNull().alias("has_trackers"),
-                       F.expr("array_join(transform(j.sharing.parties, p -> concat(p.name, ' ', p.trust_score)), '|')").alias("parties"),
-                       *[F.array_join(F.col(f"j.{k}.reason"), "|").alias(k) for k in ("penalties", "bonuses")])
-
-
 @query("s7_policy_text", "SELECT version_id, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS word_count FROM §ver")
 def _(spark, path):
     found = history.with_text(_versions(spark, path), tables.fetches(spark, path))
@@ -296,16 +277,47 @@ def _(spark, path):
     return discovery.robots_sitemaps(tables.robots(spark, path))
 
 
-@query("p16_discovery", f"""SELECT page_id, method, policy_url, word_count FROM (SELECT c.page_id, c.method, c.url AS policy_url, v.word_count,
+_DISCOVERED = f"""SELECT page_id, method, policy_url, word_count FROM (SELECT c.page_id, c.method, c.url AS policy_url, v.word_count,
     row_number() OVER (PARTITION BY page_id ORDER BY rank, ord) AS nth FROM (SELECT page_id, 'link_scan' AS method, 0 AS rank, 0 AS ord, url FROM §pick
     UNION ALL SELECT page_id, 'canonical_path', 1, ord, url FROM §canon UNION ALL SELECT page_id, 'sitemap', 2, 0, url FROM §spick) c JOIN (
     SELECT url, len(regexp_extract_all(text, '\\S+')) AS word_count FROM (SELECT url, {lines('html', disc_rules.DROPPED_TAGS, 2)} AS text FROM §stored)
-    WHERE {likely('text')} OR {url_signal('url')}) v USING (url)) WHERE nth = 1""")
+    WHERE {likely('text')} OR {url_signal('url')}) v USING (url)) WHERE nth = 1"""
+
+
+@query("p16_discovery", _DISCOVERED)
 def _(spark, path):
     return discovery.choose(_pages(spark, path), tables.policy_pages(spark, path), tables.robots(spark, path),
                             tables.sitemaps(spark, path))
 
 
+# The document of a site holds what the steps above found.
+
+@query("s6_label_document", f"""SELECT s.doc_id, s.domain, p0.url, w.policy_url, w.word_count AS policy_word_count, w.method AS policy_discovery_method,
+    {q("|".join(f"{d}={x}" for d, x in score_rules.WEIGHTS))} AS weights, policy_found, overall AS overall_score, grade, risk_level, data_collection_score AS data_collection,
+    sharing_score AS sharing, transparency_dim AS transparency, rights_score AS rights_points, retention_score AS retention_points, dark_patterns_score AS dark_patterns,
+    technical_score AS technical, state = 'full' AS has_analysis, tracked AS has_trackers, CASE WHEN state = 'full' THEN coalesce(p.names, '') END AS parties,
+    coalesce(l.reasons, '') AS penalties, coalesce(g.reasons, '') AS bonuses FROM §scored s LEFT JOIN (SELECT doc_id, string_agg(name || ' ' || trust_score, '|'
+    ORDER BY trust_score, name) AS names FROM §party GROUP BY doc_id) p USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(reason, '|' ORDER BY pos) AS reasons
+    FROM §lose GROUP BY doc_id) l USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(reason, '|' ORDER BY pos) AS reasons FROM §gain GROUP BY doc_id) g USING (doc_id)
+    LEFT JOIN §pages p0 ON p0.page_id = s.doc_id LEFT JOIN ({_DISCOVERED}) w ON w.page_id = s.doc_id""")
+def _(spark, path):
+    entries = "array<struct<reason:string>>"
+    body = ("url string, policy_url string, policy_word_count int, policy_discovery_method string, domain string, policy_found boolean, overall_score int, grade string, risk_level string, score_breakdown struct<data_collection:int,sharing:int,"
+            "transparency:int,rights:int,retention:int,dark_patterns:int,technical:int,weights:map<string,double>>, rights struct<gdpr_score:int>, trackers struct<total_tracker_count:int>, "
+            f"sharing struct<parties:array<struct<name:string,trust_score:int>>>, penalties {entries}, bonuses {entries}")
+    found = discovery.choose(_pages(spark, path), tables.policy_pages(spark, path), tables.robots(spark, path), tables.sitemaps(spark, path))
+    crawl = _pages(spark, path).select("page_id", "url").join(found, "page_id", "left").select(
+        F.col("page_id").alias("doc_id"), "url", "policy_url", F.col("word_count").alias("policy_word_count"), F.col("method").alias("policy_discovery_method"))
+    docs = context.label_json(_scored(spark, path), crawl).withColumn("j", F.from_json("result_json", body))
+    b = "j.score_breakdown."
+    return docs.select("doc_id", "j.url", "j.policy_url", "j.policy_word_count", "j.policy_discovery_method", "j.domain",
+                       F.expr("array_join(transform(map_entries(j.score_breakdown.weights), e -> concat(e.key, '=', e.value)), '|')").alias("weights"), "j.policy_found", "j.overall_score", "j.grade", "j.risk_level", b + "data_collection", b + "sharing", b + "transparency",
+                       F.col(b + "rights").alias("rights_points"), F.col(b + "retention").alias("retention_points"), b + "dark_patterns", b + "technical",
+                       F.col("j.rights").isNotNull().alias("has_analysis"), F.col("j.trackers").isNotNull().alias("has_trackers"),
+                       F.expr("array_join(transform(j.sharing.parties, p -> concat(p.name, ' ', p.trust_score)), '|')").alias("parties"),
+                       *[F.array_join(F.col(f"j.{k}.reason"), "|").alias(k) for k in ("penalties", "bonuses")])
+
+
 @query("p17_word_count_hash", "SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS words, sha256(text) AS content_hash FROM §docs")
 def _(spark, path):
     return _docs(spark, path).select("doc_id", T.word_count(F.col("text")).alias("words"), F.sha2("text", 256).alias("content_hash"))
@@ -1149,11 +1161,21 @@ def _(spark, path):
 # ---- fleet reports (our extension)
 
 @query("x1_fleet_report", """SELECT lang, s.domain, count(*) AS sites, round(avg(overall), 4) AS mean_score, round(avg(CAST(grade IN ('A', 'B') AS INTEGER)), 4)
-    AS good_share FROM §scored s JOIN (SELECT doc_id, lang FROM §docs) USING (doc_id) GROUP BY ROLLUP (lang, s.domain)""")
+    AS good_share, round(avg(CAST(grade = 'A' AS INTEGER)), 4) AS share_a, round(avg(CAST(grade = 'B' AS INTEGER)), 4) AS share_b, round(avg(CAST(grade = 'C' AS INTEGER)), 4)
+    AS share_c, round(avg(CAST(grade = 'D' AS INTEGER)), 4) AS share_d, round(avg(CAST(grade = 'F' AS INTEGER)), 4) AS share_f
+    FROM §scored s JOIN (SELECT doc_id, lang FROM §docs) USING (doc_id) GROUP BY ROLLUP (lang, s.domain)""")
 def _(spark, path):
     return reports.fleet(_scored(spark, path), "lang", "domain")
 
 
+@query("x1_fleet_common", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level, lang, domain, kind ORDER BY sites DESC, name) AS rank FROM (
+    SELECT 2 - grouping(lang) - grouping(domain) AS level, lang, domain, kind, name, count(*) AS sites FROM (SELECT d.lang, d.domain, kind, name FROM (
+    SELECT DISTINCT doc_id, 'category' AS kind, name FROM §dt UNION ALL SELECT DISTINCT doc_id, 'dark_pattern', name FROM §dark) JOIN §docs d USING (doc_id)
+    WHERE policy_found AND length(d.text) >= 100) GROUP BY GROUPING SETS ((lang, domain, kind, name), (lang, kind, name), (kind, name)))) WHERE rank <= 3""")
+def _(spark, path):
+    return reports.fleet_common(scoring.site_facts(_docs(spark, path), _pages(spark, path)), "lang", "domain")
+
+
 @query("x3_tracker_reach", "SELECT name, count(DISTINCT page_id) AS pages FROM §found GROUP BY name")
 def _(spark, path):
     return reports.reach(_found(spark, path))

@@ -64,3 +64,27 @@ def test_a_repeated_run_replaces_itself(spark, tmp_path):
     day = store.read_results(spark, path, since="2024-01-02", until="2024-01-02")
     assert [r["result_id"] for r in day.collect()] == [2]
     assert "analyzed_date" in day._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+
+
+def test_most_common_names_per_level(spark):
+    from glasspane.operators import reports
+    rows = [("full", "en", "s1", ["a", "b"], ["p"]), ("full", "en", "s2", ["a", "a"], None), ("full", None, "s1", ["b"], []),
+            ("unreadable", "en", "s1", ["c"], ["q"]), ("full", "de", "s1", None, ["p"])]
+    facts = spark.createDataFrame(rows, "state string, lang string, domain string, c array<string>, d array<string>").selectExpr(
+        "state", "lang", "domain", "transform(c, x -> struct(x AS name)) AS data_types", "struct(transform(d, x -> struct(x AS name)) AS detected) AS dark_patterns")
+    got = {tuple(r) for r in reports.fleet_common(facts, "lang", "domain", n=1).collect()}
+    assert {r for r in got if r[0] < 2} == {
+        (0, None, None, "category", 1, "a", 2), (0, None, None, "dark_pattern", 1, "p", 2), (1, "en", None, "category", 1, "a", 2),
+        (1, "en", None, "dark_pattern", 1, "p", 1), (1, None, None, "category", 1, "b", 1), (1, "de", None, "dark_pattern", 1, "p", 1)}
+    assert (2, "en", "s2", "category", 1, "a", 1) in got and not any(r[5] in "cq" for r in got)
+    assert reports.fleet_common(facts.limit(0), "lang", "domain").count() == 0
+
+
+def test_a_label_document_without_a_crawl_names_its_fields(spark):
+    from glasspane.operators import context, scoring
+    from glasspane.sources import tables
+    import json
+    path = "/root/testdata/sf0.001"
+    docs, pages = tables.policies(spark, path).where("doc_id < 2"), tables.homepages(spark, path).where("page_id < 2")
+    row = json.loads(context.label_json(scoring.score(scoring.site_facts(docs, pages))).first()["result_json"])
+    assert row["url"] is None and row["policy_discovery_method"] is None and row["score_breakdown"]["weights"]["technical"] == 0.08
