@@ -94,6 +94,50 @@ def test_structure_is_confirmed():
             assert text[a:b] in (block, token, base64.b64encode(PKCS8).decode(), SSH.hex())
 
 
+def test_forms_of_keys_in_files():
+    oid = bytes.fromhex("2a864886f70d01050d")
+    locked = der(0x30, der(0x30, der(6, oid), der(0x30, der(4, bytes(8)))), der(4, bytes(range(48))))
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, bytes(range(32))))
+
+    def lines(data, width=64):
+        text = base64.b64encode(data).decode()
+        return [text[i:i + width] for i in range(0, len(text), width)]
+
+    def pem(data, kind="RSA PRIVATE KEY", head=()):
+        return [f"-----BEGIN {kind}-----", *head, *lines(data), f"-----END {kind}-----"]
+
+    dek = ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0A" * 16, "")
+    made = {  # text of the span -> kind, and whether a changed byte breaks it
+        "\\n".join(pem(RSA)): "key_block", "\\r\\n".join(pem(SSH, "OPENSSH PRIVATE KEY")): "key_block", "\n".join(pem(RSA)): "key_block",
+        "\n".join(pem(locked, "ENCRYPTED PRIVATE KEY")): "key_block", "\n".join(pem(bytes(range(64)), head=dek)): "key_block",
+        "\\n".join(pem(bytes(range(64)), head=dek)): "key_block", "\n".join(lines(RSA)): "encoded_key", "\r\n".join(lines(RSA, 76)): "encoded_key",
+        "\n    ".join(lines(PKCS8, 48)): "encoded_key", "\\n".join(lines(locked)): "encoded_key", "\n".join(lines(SSH)): "encoded_key",
+        base64.b64encode(locked).decode(): "encoded_key", PKCS8.hex().upper(): "hex_key", locked.hex().upper(): "hex_key"}
+    for text, kind in made.items():
+        for before, after in (("ü ", " z"), ("", ""), ('"', '"'), ("x\n", "\nword")):
+            whole = before + text + after
+            found = [(a, secrets.KINDS[k], b) for a, k, b in secrets.spans(whole.encode()) if k > 2]
+            assert found == [(len(before), kind, len(before) + len(text))], (kind, before, whole)
+    two = "\n".join(lines(RSA)) + "\n\n" + "\n".join(lines(SEC1, 40))
+    assert [k for _, k, _ in secrets.spans(two.encode())] == [5, 5]
+    refused = ["\\n".join(pem(RSA[:-1])), "\n".join(pem(locked[:-1] , "ENCRYPTED PRIVATE KEY")), "\n".join(pem(bytes(63), head=dek)),
+               "\n".join(pem(bytes(64), head=(dek[0], "DEK-Info: AES-128-CBC,0A0A"))), "\n".join(lines(RSA[:-1])), "\n".join(lines(digest, 40)),
+               "\n".join(reversed(lines(RSA))), "\n".join(lines(SSH[:-1])), "\n".join(lines(bytes(300))), RSA.hex().upper()[:-2], digest.hex().upper()]
+    for text in refused:
+        assert not [x for x in secrets.spans(text.encode()) if x[1] > 2], text
+
+
+def test_long_texts_without_keys_take_linear_time():
+    import time
+    began = time.time()
+    for unit in (b"a", b"=", b"-----BEGIN PRIVATE KEY-----\n", base64.b64encode(bytes(48)) + b"\n", _SSH_LINE, b"MIIEpAIBAAKCAQEA" * 4 + b"\n", b"\\n"):
+        assert [x for x in secrets.spans(unit * (1_000_000 // len(unit))) if x[1] > 2] == []
+    assert time.time() - began < 60
+
+
+_SSH_LINE = base64.b64encode(SSH[:48]) + b"\n"
+
+
 def test_secrets_of_odd_rows(odd, none):
     assert secrets.find(odd).count() == odd.count() and secrets.find(none).count() == 0
 
