@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from .text import quote
+from html.entities import html5
+
+from .text import let, quote
 
 COMMENT = r"<!--[\s\S]*?-->"
 SCRIPT = r"<script\b[^>]*>[\s\S]*?</script\s*>"
 
-# Character references that are decoded.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
-            ("&middot;", "·"), ("&amp;", "&"))
+# Character references that stand for plain characters here; all other names are those of HTML 5.
+PLAIN = {"nbsp": " "}
+SPACE_CODE = 160
+NAMED = {**{name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}, **PLAIN}
+REPLACEMENT = "�"
+NAME_RULE, DECIMAL_RULE, HEX_RULE = "^([A-Za-z][A-Za-z0-9]{1,31});", "^#0*([0-9]{1,7});", "^#[xX]0*([0-9a-fA-F]{1,6});"
 
 
 def elements(html: str, *tags: str) -> str:
@@ -100,9 +105,28 @@ def script_body(element: str) -> str:
 
 
 def unescape(text: str) -> str:
-    for name, char in ENTITIES:
-        text = f"replace({text}, {quote(name)}, {quote(char)})"
-    return text
+    """Text with its character references decoded once: every HTML 5 name that ends in ";", and decimal and hexadecimal numbers.
+
+    One pass: the text is cut at every "&", and the start of each piece is looked up. Names that are unknown stay as they are; numbers that
+    are no character become the replacement character.
+    """
+    names = f"str_to_map({quote(chr(1).join(k + chr(2) + v for k, v in NAMED.items()))}, {quote(chr(1))}, {quote(chr(2))})"
+
+    def number(code: str, x: str) -> str:
+        bad = f"{code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343"
+        char = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
+        return f"concat(CASE WHEN {bad} THEN '{REPLACEMENT}' WHEN {code} = {SPACE_CODE} THEN ' ' ELSE {char} END, substring({x}, instr({x}, ';') + 1))"
+
+    def piece(x: str) -> str:
+        name, decimal, hexa = (f"regexp_extract({x}, {quote(r)}, 1)" for r in (NAME_RULE, DECIMAL_RULE, HEX_RULE))
+        named = let(f"try_element_at({names}, {name})", lambda c: f"if({c} IS NULL, concat('&', {x}), concat({c}, substring({x}, instr({x}, ';') + 1)))")
+        counted = let(f"CASE WHEN {decimal} <> '' THEN int({decimal}) WHEN {hexa} <> '' THEN int(conv({hexa}, 16, 10)) END",
+                      lambda c: f"if({c} IS NULL, concat('&', {x}), {number(c, x)})")
+        return f"if(startswith({x}, '#'), {counted}, {named})"
+
+    def decoded(t: str) -> str:
+        return let(f"split({t}, '&', -1)", lambda p: f"concat({p}[0], array_join(transform(slice({p}, 2, size({p})), r -> {piece('r')}), ''))")
+    return let(text, lambda t: f"if(contains({t}, '&'), {decoded(t)}, {t})")
 
 
 def without(html: str, tags) -> str:

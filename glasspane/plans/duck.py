@@ -94,9 +94,19 @@ def norm(url: str) -> str:
 
 
 def unescape(text: str) -> str:
-    for name, char in H.ENTITIES:
-        text = f"replace({text}, {q(name)}, {q(char)})"
-    return text
+    names, chars = q(list(H.NAMED)), q(list(H.NAMED.values()))
+    name, decimal, hexa = (f"regexp_extract(amp, {q(r)}, 1)" for r in (H.NAME_RULE, H.DECIMAL_RULE, H.HEX_RULE))
+    rest = "amp[strpos(amp, ';') + 1:]"
+
+    def number(digits: str) -> str:
+        code = f"TRY_CAST({digits} AS INTEGER)"
+        return (f"CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN {q(H.REPLACEMENT)} WHEN {code} = 160 THEN ' ' "
+                f"ELSE chr({code}) END || {rest}")
+
+    written = number("'0x' || " + hexa)
+    return (f"array_to_string(list_transform(string_split({text}, '&'), lambda amp, nth: CASE WHEN nth = 1 THEN amp WHEN {decimal} <> '' THEN "
+            f"{number(decimal)} WHEN {hexa} <> '' THEN {written} WHEN {name} <> '' AND list_contains({names}, {name}) "
+            f"THEN ({chars})[list_position({names}, {name})] || {rest} ELSE '&' || amp END), '')")
 
 
 def gone(html: str, tags) -> str:

@@ -80,7 +80,8 @@ FRAGMENTS = (
     '<script src="https://js.hs-scripts.com/1.js"></script><script src="https://sub.criteo.com/a.js"></script>'
     '<iframe src="https://www.linkedin.com/embed"></iframe><script src="https://www.linkedin.com/in.js"></script>'
     '<img src="https://ib.adnxs.com/track?id=1"><script src="https://www.google-analytics.com/ga.js"></script>',
-    '<main><p>Privacy notice body</p><p>We collect personal data and cookies.</p></main><footer><a href="mailto:a@b.c">'
+    '<main><p>Privacy notice body</p><p>We collect personal data and cookies.</p>'
+    '<p>Gr&uuml;&szlig;e &#252; &#xFC; &#0; &hellip;&NotEqualTilde; &nosuch; &amp;lt; A&B &copy &#128512;</p></main><footer><a href="mailto:a@b.c">'
     'Mail</a><a href="/gdpr">Your data</a><a href="/security">Security</a><a href="https://trust.test/compliance">Trust'
     '</a><a href="/dpa">DPA</a></footer>',
     '<noscript><p>This page needs scripts, but our privacy notice says that we collect personal data with consent and '

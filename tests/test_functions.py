@@ -97,3 +97,12 @@ def test_first_character_test_changes_no_match():
                          "retain for up to three years", "privacy by design", "data may be shared", "erase your data on request"):
                 a, b = re.search(pattern, text), re.search(ahead, text)
                 assert (a and a.span()) == (b and b.span())
+
+
+def test_character_references_are_decoded_once(values):
+    import html
+    from glasspane.functions import html as H
+    texts = ["Gr&uuml;&szlig;e", "&#252;&#xFC;&#X00fc;", "&amp;lt; &amp;amp;", "&#0; &#xD800; &#9999999;", "&NotEqualTilde;&hellip;", "a &nosuch; b & c && d;",
+             "&", "", "&#;&#x;&;", "&#128512;\n&quot;&#39;&apos;&lt;p&gt;", "&nbsp;&#160;", "no reference; at all", "&bsol;&NewLine;|&Tab;|&comma;" + "x" * 9000 + "&copy;"]
+    assert values(H.unescape("x"), *texts) == [html.unescape(t).replace(" ", " ") for t in texts]
+    assert values(H.unescape("x"), "&" + "a" * 50_000 + ";" + "&#65;" * 20_000) == ["&" + "a" * 50_000 + ";" + "A" * 20_000]
