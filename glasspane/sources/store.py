@@ -13,9 +13,11 @@ def save_results(scored: DataFrame, path: str, run: str | None = None) -> None:
 
     A run that is repeated, whole or after a failure, replaces its own days and nothing else, so no result is stored twice; runs of other
     names, and each run without a name, add to the same days. Rows without analyzed_at are kept under a day of their own.
+    The rows of a day are gathered before they are written (a very large day stays split), so a day costs one file and not one per task.
     """
     run = run or uuid.uuid4().hex
-    scored.withColumns({"analyzed_date": F.to_date("analyzed_at"), "run": F.lit(run)}).write.mode("overwrite").option(
+    rows = scored.withColumns({"analyzed_date": F.to_date("analyzed_at"), "run": F.lit(run)})
+    rows.hint("rebalance", F.col("analyzed_date")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("analyzed_date", "run").parquet(path)
 
 
