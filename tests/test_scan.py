@@ -77,3 +77,28 @@ def test_a_day_is_one_file(spark, tmp_path):
         store.save_results(rows, str(tmp_path / "saved"), run)
     files = list(Path(tmp_path / "saved").rglob("*.parquet"))
     assert len(files) == 80 and store.read_results(spark, str(tmp_path / "saved")).count() == 8000
+
+
+def _bare(value):
+    """A fact without its evidence."""
+    if isinstance(value, dict):
+        return {k: _bare(v) for k, v in value.items() if k not in ("evidence", "context")}
+    return [_bare(v) for v in value] if isinstance(value, list) else value
+
+
+def test_facts_without_evidence_are_the_same_facts(policies):
+    docs = policies(
+        "We share your email address, passport and health data with third parties. Data is kept for 6 months. Kept for 6 months, for 2 years and for 3 weeks.",
+        "We collect your email and location. You have the right to access. We keep it as long as necessary, until you delete your account.",
+        "By continuing to use this site you agree. Nothing else, indefinitely.", "", None)
+    full, slim = ({r["doc_id"]: r.asDict(True) for r in scoring.analyse(docs, e).collect()} for e in (True, False))
+    assert {k: _bare(v) for k, v in full.items()} == {k: _bare(v) for k, v in slim.items()}
+    assert full[0]["data_types"][0]["evidence"] and all(d["evidence"] is None for r in slim.values() for d in r["data_types"] or ())
+    assert full[0]["retention"]["n_items"] >= 3 and full[1]["rights"]["gdpr_score"] > 0
+
+
+def test_scores_cut_no_evidence(spark):
+    for name in ("a19_overall_score", "a29_alerts", "x1_fleet_common", "l1_summary_context"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "concat(…" not in plan, name
+    assert "concat(…" in catalog.QUERIES["r19_gdpr_rights"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
