@@ -102,3 +102,14 @@ def test_scores_cut_no_evidence(spark):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "concat(…" not in plan, name
     assert "concat(…" in catalog.QUERIES["r19_gdpr_rights"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_one_row_group_are_analysed_by_several_tasks(spark, homepages, tmp_path):
+    text = F.expr("array_join(transform(sequence(1, 4000), i -> sha2(concat(doc_id, ' ', i), 256)), ' ')")
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("shop.example").alias("domain"), F.lit(True).alias("policy_found"), text.alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).withColumn("low", T.searchable(F.col("text")))
+    shares = scoring.analyse(docs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
+    assert len(shares) > 2 and sum(r["n"] for r in shares) == 40 and sum(r["chars"] for r in shares) == 40 * (4000 * 65 - 1)
+    plan = scoring.site_facts(docs, homepages("<p>Hello</p>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # texts and markup
