@@ -15,9 +15,10 @@ def components(links: DataFrame) -> DataFrame:
     Only links and labels move, with partial aggregation; nothing is collected but the number of changed labels. A table without
     links gives no rows.
     """
-    ends = links.where("a <> b")
-    near = C.packed(ends.select("a", "b").union(ends.select("b", "a")).union(ends.select("a", "a")).union(ends.select("b", "b")).distinct())
-    parts = max(1, near.rdd.getNumPartitions())
+    both = F.expr("explode(array(struct(a, b), struct(b AS a, a AS b), struct(a, a AS b), struct(b AS a, b)))")
+    near = C.durable(links.where("a <> b").select(both.alias("end")).select("end.*").distinct())
+    parts = C.parts(near.count())  # there are no more nodes than rows here
+    near = near.coalesce(parts)
     label = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     while True:
         told = near.join(label.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(
@@ -30,12 +31,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(root: DataFrame, links: DataFrame) -> DataFrame:
-    """The components (node, root) after more links (a, b): only links between different components are followed."""
+    """The components (node, root) after more links (a, b): only links between different components are followed.
+
+    Both ends of any other link are in `root` already, so where there is no such link the components stay as they are.
+    """
     for k in "ab":
         known = root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
         links = links.join(known, k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
-    links = C.packed(links)
-    joined = components(links.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    links = C.durable(links.where("root_a <> root_b"))
+    n = links.count()
+    if not n:
+        return root
+    links = links.coalesce(C.parts(n))
+    joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     nodes = root.union(links.select("a", "root_a")).union(links.select("b", "root_b")).distinct()
     to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
     return C.packed(nodes.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from glasspane.llm import common as C
+from glasspane.llm import graph
 from glasspane.llm import neardup as N
 from glasspane.llm import queries as Q
 from glasspane.llm.graph import components
@@ -116,3 +117,20 @@ def test_words_and_hashes():
     assert all(seen.setdefault(t, h) == h for t, h in zip(texts, words.hashes())) and len(set(words.hashes().tolist())) == len(set(texts))
     shingle, doc = words.shingles()
     assert doc.tolist() == [0, 3, 3, 4] and shingle[2] == shingle[3]
+
+
+def _jobs(spark, work):
+    spark.sparkContext.setJobGroup(name := f"counted-{work.__name__}", "")
+    out = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_few_links_are_merged_in_one_partition_and_no_new_ones_cost_little(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    root = graph.components(links)
+    assert root.rdd.getNumPartitions() == 1
+    same, jobs = _jobs(spark, lambda: graph.merged(root, spark.createDataFrame([(1, 3), (7, 8)], "a long, b long")))
+    assert sorted(map(tuple, same.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)] and jobs <= 10
+    more = graph.merged(root, spark.createDataFrame([(3, 8), (8, 9), (11, 12), (1, 2)], "a long, b long"))
+    assert sorted(map(tuple, more.collect())) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (9, 1), (11, 11), (12, 11)]
