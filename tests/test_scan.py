@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import random
 import re
@@ -79,6 +80,47 @@ def test_a_day_is_one_file(spark, tmp_path):
     assert len(files) == 80 and store.read_results(spark, str(tmp_path / "saved")).count() == 8000
 
 
+def _stored(rows):
+    return sorted((r["run"], r["result_id"], str(r["analyzed_date"])) for r in rows.collect())
+
+
+def test_many_days_share_folders(spark, tmp_path):
+    path, day = str(tmp_path / "saved"), lambda n: str(dt.date(1970, 1, 1) + dt.timedelta(n))
+    rows = spark.range(0, 1301).select(F.col("id").alias("result_id"), F.expr("if(id < 1300, timestamp_seconds((id div 2 - 300) * 86400), NULL)").alias("analyzed_at"))
+    want = [(i, day(i // 2 - 300) if i < 1300 else "None") for i in range(1301)]
+    for run in ("a/1", "b", "a/1"):
+        store.save_results(rows, path, run)
+    assert len(list(Path(path).rglob("*.parquet"))) <= 2 * (store.FOLDERS + 1)
+    back = store.read_results(spark, path)
+    assert back.columns == ["result_id", "analyzed_at", "analyzed_date", "run"]
+    assert _stored(back) == sorted((run, *w) for run in ("a/1", "b") for w in want)
+    # a later save of some days, new ones too, replaces those and leaves the others of their spans
+    some = spark.createDataFrame([(9001, dt.datetime(1970, 1, 3, 5)), (9002, dt.datetime(1971, 3, 1)), (9003, None), (9004, dt.datetime(1999, 1, 1))],
+                                 "result_id long, analyzed_at timestamp")
+    store.save_results(some, path, "a/1")
+    store.save_results(some, path)  # and a run without a name adds to them
+    new = [(9001, "1970-01-03"), (9002, "1971-03-01"), (9003, "None"), (9004, "1999-01-01")]
+    back = [w for w in _stored(store.read_results(spark, path)) if w[0] in ("a/1", "b")]
+    gone = {d for _, d in new}
+    assert back == sorted([("b", *w) for w in want] + [("a/1", *w) for w in want if w[1] not in gone] + [("a/1", *w) for w in new])
+    assert store.read_results(spark, path).count() == len(back) + 4
+    bounded = store.read_results(spark, path, since="1970-01-02", until="1970-01-04")
+    assert _stored(bounded) == [w for w in _stored(store.read_results(spark, path)) if "1970-01-02" <= w[2] <= "1970-01-04"]
+    assert "stored_from" in bounded._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[-1][:300]
+
+
+def test_a_run_stays_as_it_was_first_stored(spark, tmp_path):
+    path = str(tmp_path / "saved")
+    rows = spark.range(0, store.FOLDERS + 5).select(F.col("id").alias("result_id"), F.timestamp_seconds(F.col("id") * 86400).alias("analyzed_at"))
+    store.save_results(rows.where("result_id < 3"), path, "007")
+    store.save_results(rows.where("result_id < 3"), path, "8")
+    store.save_results(rows, path, "007")
+    store.save_results(rows, path, "7")
+    back = store.read_results(spark, path)
+    assert back.count() == 2 * (store.FOLDERS + 5) + 3 and back.where("analyzed_date = DATE '1970-01-02'").count() == 3
+    assert len(list(Path(path).glob("analyzed_date=*/run=007"))) == store.FOLDERS + 5
+
+
 def _bare(value):
     """A fact without its evidence."""
     if isinstance(value, dict):
