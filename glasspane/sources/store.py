@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders of one save, about: a run that first comes with more days has spans of days as folders.
+# A run that first comes with more days has spans of days as folders.
 FOLDERS = 100
 # Days of a span, counted from 1970-01-01.
 SPANS = tuple(2 ** k for k in range(17))
@@ -25,8 +25,9 @@ def save_results(scored: DataFrame, path: str, run: str | None = None) -> None:
     names, and each run without a name, add to the same days. Rows without analyzed_at are kept under a day of their own.
     The rows of a day are gathered before they are written (a very large day stays split), so a day costs one file and not one per task.
     A folder costs far more than a row: a run that first comes with more than FOLDERS days is stored by spans of 2, 4, 8 ... days with the day
-    in the rows, in FOLDERS folders at most. A run stays as its first save stored it; days of a span that a later save leaves out are written again
-    with the others. The days are listed before (one number a day on the driver): store rows with a costly analyzed_at first (kept).
+    in the rows, in FOLDERS folders at most (and one for rows without a day). A run stays as its first save stored it; days of a span that a
+    later save leaves out are written again with the others. The days are listed before (one number a day on the driver): store rows with a
+    costly analyzed_at first (kept).
     """
     named, run, spark = bool(run), run or uuid.uuid4().hex, scored.sparkSession
     rows = scored.withColumns({"analyzed_date": F.to_date("analyzed_at"), "run": F.lit(run)})
@@ -51,10 +52,8 @@ def save_results(scored: DataFrame, path: str, run: str | None = None) -> None:
 
 def read_results(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """Stored results; with bounds (days, both included) only the folders that hold those days are read."""
-    single = _opened(spark, f"{path}/analyzed_date=*", path)
     spanned = _opened(spark, f"{path}/{SPANNED}")
-    if single is None and spanned is None:
-        single = spark.read.parquet(path)  # Spark's own error
+    single = spark.read.parquet(path) if spanned is None else _opened(spark, f"{path}/analyzed_date=*", path)
     for day, test in ((since, ">="), (until, "<=")):
         if day is not None and single is not None:
             single = single.where(f"analyzed_date {test} DATE '{day}'")
